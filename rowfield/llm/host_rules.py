@@ -123,12 +123,12 @@ def host_verdicts(counted: DataFrame, host: str, r: Rules) -> DataFrame:
         F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("_v"),
         F.avg(F.lit(1.0) / F.col("host_docs")).alias("_inv"),
     )
-    m = F.least(F.greatest(F.col("_m"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    between = F.greatest(F.col("_v") - m * (1 - m) * F.col("_inv"), F.lit(1e-9))
-    prior = prior.select(m.alias("_m"), F.least(F.greatest(m * (1 - m) / between - 1, F.lit(1.0)), F.lit(1e6)).alias("_k"))
-    shrunk = (F.col("host_failures") + F.col("_m") * F.col("_k")) / (F.col("host_docs") + F.col("_k"))
-    # the prior is exactly one row, so this join only adds two numbers to each host
-    return by.join(F.broadcast(prior), F.lit(True), "left").select("_host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > r.bad_host_rate).alias("host_bad"))
+    row = prior.first()  # three numbers, whatever the number of hosts
+    mean = min(max(row["_m"] or 0.0, 1e-6), 1 - 1e-6)
+    between = max((row["_v"] or 0.0) - mean * (1 - mean) * (row["_inv"] or 0.0), 1e-9)
+    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6)
+    shrunk = (F.col("host_failures") + mean * strength) / (F.col("host_docs") + strength)
+    return by.select("_host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > r.bad_host_rate).alias("host_bad"))
 
 
 def judged(counted: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
