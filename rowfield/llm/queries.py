@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowfield.llm import host_rules
+from rowfield.llm import host_rules, simhash, suffix_dedup
 from rowfield.llm.common import table
 
 
@@ -13,5 +14,15 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_bad")
 
 
-QUERIES = {"op8_host_rules": op8_host_rules}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.removed(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op8_host_rules": op8_host_rules, "op9_simhash": op9_simhash, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLES: dict[str, str] = {}
