@@ -154,12 +154,12 @@ def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows that agree in key, source and size are numbered by a
     hash of the text and share their copies in that order."""
-    taken = copies(docs, key, source, text).select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("size").alias("_n"), "copies")
-    left = docs.withColumns({"_k": F.col(key), "_s": F.col(source), "_n": word_count(F.col(text))})
+    taken = copies(docs, key, source, text).select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c"))
+    left = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_k"), F.col(source).alias("_s"), word_count(F.col(text)).alias("_n"), F.xxhash64(text).alias("_h"))
     alike = ["_k", "_s", "_n"]
     if taken.groupBy(alike).count().where("count > 1").limit(1).count():
-        taken = taken.withColumn("_i", F.row_number().over(Window.partitionBy(alike).orderBy(F.desc("copies"))))
-        left = left.withColumn("_i", F.row_number().over(Window.partitionBy(alike).orderBy(F.xxhash64(text))))
+        taken = taken.withColumn("_i", F.row_number().over(Window.partitionBy(alike).orderBy(F.desc("_c"))))
+        left = left.withColumn("_i", F.row_number().over(Window.partitionBy(alike).orderBy("_h")))
         alike = [*alike, "_i"]
     on = reduce(lambda x, y: x & y, (left[c].eqNullSafe(taken[c]) for c in alike))
-    return left.join(taken.where("copies > 0"), on).select(*[left[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
+    return left.join(taken.where("_c > 0"), on).select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("_c")))).select("_doc.*")
