@@ -15,8 +15,9 @@ windows of an anchor lie in its context: LENGTH - GRAM bytes before it and LENGT
    are done. The first ones of different contexts of one anchor can still share some windows: these are ambiguous.
 3. Ambiguous contexts get their bytes, meet again by anchor, and an enhanced suffix array over a block of them yields,
    from its common-prefix interval tree, the maximal repeats with all occurrences; all but the first are marked.
-   An anchor with more contexts than a block holds isn't kept in one task: its contexts go on as rows of window
-   hashes (128 bits), whose first starts come from a pre-aggregated minimum and a join that splits skewed keys.
+   An anchor with more than MOST contexts isn't kept in one task. Its contexts are cut into PARTS ranges of windows;
+   the bytes that all windows of a range share extend the anchor, so most ranges stand alone now, and equal ranges are
+   resolved by pre-aggregated minima and joins that split skewed keys. What is left is resolved window by window.
 4. Marks are merged by document and joined to the texts.
 
 Defined cases: null texts are empty; texts shorter than LENGTH lose nothing; rows with a null id come after all
@@ -43,7 +44,10 @@ WINDOW = LENGTH - GRAM + 1  # grams in a string of LENGTH bytes
 BEFORE = LENGTH - GRAM
 PIECE = 1 << 20  # bytes that are hashed at a time
 BLOCK = 2048  # contexts of a suffix array, as far as whole anchors allow
-MOST = 16384  # contexts of one anchor in a suffix array; an anchor with more is resolved by window hashes
+MOST = 4096  # contexts of one anchor in a suffix array; an anchor with more is resolved by ranges of windows
+PARTS = 8
+#: (least, greatest) bytes that the windows of a range have before the anchor.
+RANGES = [(BEFORE * i // PARTS + (i > 0), BEFORE * (i + 1) // PARTS) for i in range(PARTS)]
 
 LAST = (1 << 63) - 1
 
@@ -203,11 +207,11 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In: doc, sub, text, list of (a, lo, hi). Out: a, doc, sub, start, context bytes."""
+    """In: doc, sub, text, list of (a, lo, hi). Out: a, doc, sub, start, context bytes, bytes before the anchor."""
     for batch in batches:
         out: list[tuple] = []
         for doc, sub, text, places in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            out += [(p["a"], doc, sub, p["lo"] - (p["hi"] >> 8), text[p["lo"] - (p["hi"] >> 8) : p["lo"] + (p["hi"] & 255)]) for p in places]
+            out += [(p["a"], doc, sub, p["lo"] - (p["hi"] >> 8), text[p["lo"] - (p["hi"] >> 8) : p["lo"] + (p["hi"] & 255)], p["hi"] >> 8) for p in places]
             if len(out) >= 20_000:
                 yield _context_batch(out)
                 out = []
@@ -216,12 +220,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (_L, _L, _L, _L, pa.binary()), strict=True)], names=["a", "doc", "sub", "start", "context"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (_L, _L, _L, _L, pa.binary(), _L), strict=True)], names=["a", "doc", "sub", "start", "context", "left"])
 
 
-#: Rows of step 3. kind 0: a mark (lo, hi). kind 2: a window of an anchor with too many contexts (hashes x, y; lo is its start).
-RESOLVED = "kind byte, doc long, sub long, lo long, hi long, x long, y long"
-_RESOLVED = [("kind", pa.int8()), ("doc", _L), ("sub", _L), ("lo", _L), ("hi", _L), ("x", _L), ("y", _L)]
+#: Rows of step 3. kind 0: a mark (lo, hi). kind 2: a range of windows of an anchor with too many contexts: its bytes
+#: from lo to hi, the extended anchor's hash (x, y) and the bytes' hash (z).
+RESOLVED = "kind byte, doc long, sub long, lo long, hi long, x long, y long, z long, bytes binary"
+_RESOLVED = [("kind", pa.int8()), ("doc", _L), ("sub", _L), ("lo", _L), ("hi", _L), ("x", _L), ("y", _L), ("z", _L), ("bytes", pa.binary())]
 
 
 def _repeats(docs: np.ndarray, subs: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> pa.RecordBatch | None:
@@ -250,21 +255,25 @@ def _repeats(docs: np.ndarray, subs: np.ndarray, starts: np.ndarray, texts: list
     row = pick[lo >> 40]
     low = (1 << 40) - 1
     zero = np.zeros(len(lo), np.int64)
-    return _batch(_RESOLVED, zero.astype(np.int8), docs[row], subs[row], lo & low, hi & low, zero, zero)
+    return _batch(_RESOLVED, zero.astype(np.int8), docs[row], subs[row], lo & low, hi & low, zero, zero, zero, [b""] * len(lo))
 
 
-def _windows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Rows of window hashes for contexts of an anchor that has too many of them."""
+def _ranges(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of ranges of windows for contexts of an anchor that has too many of them."""
     out: list[tuple] = []
-    for _, doc, sub, start, text in rows:
-        for i in range(len(text) - LENGTH + 1):
-            h = xxhash.xxh3_128_intdigest(text[i : i + LENGTH])
-            out.append((2, doc, sub, start + i, 0, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
-        if len(out) >= 50_000:
-            yield _batch(_RESOLVED, *zip(*out, strict=True))
-            out = []
-    if out:
-        yield _batch(_RESOLVED, *zip(*out, strict=True))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for a, doc, sub, start, text, left in rows:
+        for least, greatest in RANGES:
+            # a text's end may leave fewer windows
+            low, high = max(least, LENGTH - (len(text) - left)), min(greatest, left)
+            if low > high:
+                continue
+            shared = xxhash.xxh3_128_intdigest(text[left - least : left + LENGTH - greatest], least)
+            lo, hi = left - high, left + LENGTH - low
+            part = text[lo:hi]
+            out.append((2, doc, sub, start + lo, start + hi, signed(shared >> 64) ^ a, signed(shared & ((1 << 64) - 1)), signed(xxhash.xxh3_64_intdigest(part, high)), part))
+    for at in range(0, len(out), 20_000):
+        yield _batch(_RESOLVED, *zip(*out[at : at + 20_000], strict=True))
 
 
 def _resolver(most: int, block: int):
@@ -277,16 +286,16 @@ def _resolver(most: int, block: int):
 
         def resolved() -> Iterator[pa.RecordBatch]:
             if ready:
-                _, docs, subs, starts, texts = zip(*ready, strict=True)
+                _, docs, subs, starts, texts, _ = zip(*ready, strict=True)
                 ready.clear()
                 if (made := _repeats(np.array(docs), np.array(subs), np.array(starts), list(texts))) is not None:
                     yield made
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[-1][0] != row[0]:
                     if over:
-                        yield from _windows(group)
+                        yield from _ranges(group)
                     else:
                         ready += group
                         if len(ready) >= block:
@@ -294,10 +303,10 @@ def _resolver(most: int, block: int):
                     group, over = [], False
                 group.append(row)
                 if len(group) > (block if over else most):
-                    yield from _windows(group[:-1])
+                    yield from _ranges(group[:-1])
                     group, over = group[-1:], True
         if over:
-            yield from _windows(group)
+            yield from _ranges(group)
         else:
             ready += group
         yield from resolved()
@@ -323,15 +332,31 @@ def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     found, _ = written(sifted, "found")
     places = found.where("kind = 1").groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("places"))
     placed = distinct.join(places.hint("shuffle_hash"), ["doc", "sub"]).select("doc", "sub", "text", "places")
-    contexts = placed.mapInArrow(_contexts, "a long, doc long, sub long, start long, context binary")
+    contexts = placed.mapInArrow(_contexts, "a long, doc long, sub long, start long, context binary, left long")
     resolved, _ = written(contexts.repartition("a").sortWithinPartitions("a", "doc", "sub", "start").mapInArrow(_resolver(most, block), RESOLVED), "resolved")
-    windows = resolved.where("kind = 2").select("x", "y", F.struct("doc", "sub", "lo").alias("place"))
-    least = windows.groupBy("x", "y").agg(F.min("place").alias("least"))
-    later = windows.join(least, ["x", "y"]).where("place > least").select("place.doc", "place.sub", "place.lo", (F.col("place.lo") + LENGTH).alias("hi"))
+    later = _resolved_ranges(resolved.where("kind = 2"))
     spans = found.where("kind = 0").select("doc", "sub", "lo", "hi").unionByName(resolved.where("kind = 0").select("doc", "sub", "lo", "hi")).unionByName(later)
     return rows, spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
+def _resolved_ranges(rows: DataFrame) -> DataFrame:
+    """doc, sub, lo, hi of all windows in ranges (kind 2) that start earlier elsewhere.
+
+    Of ranges with equal bytes, all but the first are marked whole. The first ones share an extended anchor with others
+    or are done; those that do are taken apart into windows, and all but a window's first start are marked.
+    """
+    ranges = rows.select("x", "y", "z", F.struct("doc", "sub", "lo").alias("place"), "hi", "bytes")
+    first = ranges.groupBy("x", "y", "z").agg(F.min("place").alias("first"), F.min_by("bytes", "place").alias("bytes"))
+    whole = ranges.drop("bytes").join(first.select("x", "y", "z", "first"), ["x", "y", "z"]).where("place > first").select("place.doc", "place.sub", "place.lo", "hi")
+    several = first.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
+    open_ = first.join(several, ["x", "y"], "left_semi").where(F.length("bytes") >= LENGTH)
+    window = open_.select("first", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - LENGTH)).alias("i"))
+    window = window.select(F.md5(F.substring("bytes", F.col("i") + 1, F.lit(LENGTH))).alias("w"), F.struct(F.col("first.doc"), F.col("first.sub"), (F.col("first.lo") + F.col("i")).alias("lo")).alias("place"))
+    least = window.groupBy("w").agg(F.min("place").alias("least"))
+    each = window.join(least, "w").where("place > least").select("place.doc", "place.sub", "place.lo", (F.col("place.lo") + LENGTH).alias("hi"))
+    return whole.unionByName(each)
+
+
 def disjoint(spans: list[dict] | None) -> tuple[list[int], list[int]]:
     if not spans:
         return [], []
