@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowfield.llm.common import written
@@ -44,7 +44,7 @@ WINDOW = LENGTH - GRAM + 1  # grams in a string of LENGTH bytes
 BEFORE = LENGTH - GRAM
 PIECE = 1 << 20  # bytes that are hashed at a time
 BLOCK = 2048  # contexts of a suffix array, as far as whole anchors allow
-MOST = 4096  # contexts of one anchor in a suffix array; an anchor with more is resolved by ranges of windows
+MOST = 1024  # contexts of one anchor in a suffix array; an anchor with more is resolved by ranges of windows
 PARTS = 8
 #: (least, greatest) bytes that the windows of a range have before the anchor.
 RANGES = [(BEFORE * i // PARTS + (i > 0), BEFORE * (i + 1) // PARTS) for i in range(PARTS)]
@@ -314,20 +314,21 @@ def _resolver(most: int, block: int):
     return run
 
 
-def _identified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def _identified(docs: DataFrame, key: str, text: str, *keep: Column) -> tuple[DataFrame, DataFrame]:
     """doc, sub, text: doc orders the rows; sub tells rows of one id apart and is 0 where ids are unique. First for all
     rows, then with repeated rows once."""
     doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     repeats = docs.groupBy(doc.alias("doc")).count().where("count > 1").limit(1).count() > 0
     sub = F.xxhash64(F.coalesce(text, F.lit(""))) if repeats else F.lit(0).cast("long")
-    rows = docs.select(doc.alias("doc"), sub.alias("sub"), F.col(text).alias("text"))
-    return rows, rows.dropDuplicates(["doc", "sub"]) if repeats else rows
+    named = [doc.alias("doc"), sub.alias("sub"), F.col(text).alias("text")]
+    once = docs.select(*named)
+    return docs.select(*named, *keep), once.dropDuplicates(["doc", "sub"]) if repeats else once
 
 
-def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs as (doc, sub, text), and for each document with marks (doc, sub, spans): its spans [lo, hi) in
+def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST, block: int = BLOCK, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as (doc, sub, text and `keep`), and for each document with marks (doc, sub, spans): its spans [lo, hi) in
     any order, which may overlap."""
-    rows, distinct = _identified(docs, key, text)
+    rows, distinct = _identified(docs, key, text, *([] if keep is None else [keep]))
     sifted = distinct.mapInArrow(_scan, ROWS).repartition("a").sortWithinPartitions("kind", "a", "c", "doc", "sub", "span").mapInArrow(_sift, FOUND)
     found, _ = written(sifted, "found")
     places = found.where("kind = 1").groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("places"))
@@ -385,3 +386,33 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", **sizes: i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "n_bytes", "n_removed", "n_spans", "kept", "starts", "ends"])
 
     return joined.mapInArrow(cut, f"{key} long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>")
+
+
+def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", least_bytes: int = 1, **sizes: int) -> DataFrame:
+    """The rows of docs with what remains of their texts and, where there is a column `length`, their new lengths in
+    characters. Texts that lose nothing stay as they are. A cut through a character takes the whole character. A row that
+    loses bytes goes if fewer than `least_bytes` are left."""
+    schema, names = docs.schema, docs.columns
+    rows, spans = marks(docs, key, text, keep=F.struct(*names).alias("row"), **sizes)
+    joined = rows.join(spans.hint("shuffle_hash"), ["doc", "sub"], "left").select("row", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(batch.column(0))])
+            texts, kept = table[text].to_pylist(), [True] * batch.num_rows
+            lengths = table[length].to_pylist() if length in names else []
+            for i, found in enumerate(batch.column(1).to_pylist()):
+                if not found:
+                    continue
+                data = remaining(texts[i].encode(), *disjoint(found))
+                texts[i], kept[i] = data.decode("utf-8", "ignore"), len(data) >= least_bytes
+                if lengths:
+                    lengths[i] = len(texts[i])
+            at = names.index(text)
+            table = table.set_column(at, table.field(at), pa.array(texts, table.field(at).type))
+            if lengths:
+                at = names.index(length)
+                table = table.set_column(at, table.field(at), pa.array(lengths, table.field(at).type))
+            yield from table.filter(pa.array(kept, pa.bool_())).to_batches()
+
+    return joined.mapInArrow(cut, schema)
