@@ -112,7 +112,10 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def on_ring(x: Column, y: Column, ring: Column) -> Column:
-    return F.exists(_steps(closed(ring)), lambda s: point_segment_distance(x, y, s["x"], s["y"], s["u"], s["v"]) == 0)
+    """By the exact cross product, within the segment's box."""
+    between = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
+    on = lambda s: ((s["u"] - s["x"]) * (y - s["y"]) == (s["v"] - s["y"]) * (x - s["x"])) & between(x, s["x"], s["u"]) & between(y, s["y"], s["v"])
+    return F.exists(_steps(closed(ring)), on)
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:

@@ -75,9 +75,8 @@ def site_totals(blocks: DataFrame, profile: str = "backend") -> DataFrame:
         F.count(F.lit(1)).alias("block_count"),
         F.sum("row_count").alias("row_count"),
         F.sum("canopy_count").alias("canopy_count"),
-        F.round(F.sum(value("row_length_m")), 2).alias("row_length_m"),
-        F.round(F.sum(value("canopy_area_m2")), 2).alias("canopy_area_m2"),
-        F.round(F.sum(value("interrow_area_m2")), 2).alias("interrow_area_m2"),
+        # sums are first freed of the order in which they were added up
+        *[F.round(F.round(F.sum(value(c)), 4), 2).alias(c) for c in ("row_length_m", "canopy_area_m2", "interrow_area_m2")],
         F.round(F.sum(value("interrow_area_m2")) / 10000, places).alias("interrow_area_ha"),
     )
 
@@ -93,7 +92,7 @@ def row_attributes(pieces: DataFrame) -> DataFrame:
     """Per row: mean confidence (0.7 where unknown) and structure: disrupted before regular before unassessable."""
     has = lambda s: F.bool_or(F.col("row_structure") == s)
     merged = F.when(has("disrupted"), "disrupted").when(has("regular"), "regular").otherwise("unassessable")
-    return pieces.groupBy("row_id").agg(F.round(F.avg(F.coalesce("confidence", F.lit(0.7))), 3).alias("confidence"), merged.alias("row_structure"))
+    return pieces.groupBy("row_id").agg((F.floor(F.round(F.avg(F.coalesce("confidence", F.lit(0.7))), 6) * 1000 + 0.5) / 1000).alias("confidence"), merged.alias("row_structure"))
 
 
 def spacings(offsets: DataFrame, by: str, default: float = 2.5) -> DataFrame:

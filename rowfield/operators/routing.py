@@ -301,11 +301,17 @@ def cheapest_variants(costs: DataFrame) -> DataFrame:
     return costs.groupBy("walk").agg(F.aggregate(order, first, fold, F.array_min).alias("cost"))
 
 
-def path_sums(tree: DataFrame, rounds: int = 25) -> DataFrame:
-    """node, total: the sum of weights from each node to its tree's root, by pointer doubling (root's parent is itself)."""
+def path_sums(tree: DataFrame, folder: str, rounds: int = 25) -> DataFrame:
+    """node, total: the sum of weights from each node to its tree's root, by pointer doubling (root's parent is itself).
+    It ends when all pointers stand at roots; each round is a table in `folder`, the shared checkpoint folder."""
+    spark = tree.sparkSession
     now = tree.select("node", F.col("parent").alias("p"), F.when(F.col("node") == F.col("parent"), 0.0).otherwise(F.col("w")).alias("total"))
-    depth = tree.count()
-    for _ in range(min(rounds, max(1, depth.bit_length()))):
+    for step in range(rounds):
         up = now.select(F.col("node").alias("p"), F.col("p").alias("pp"), F.col("total").alias("t2"))
-        now = now.join(up, "p").select("node", F.col("pp").alias("p"), (F.col("total") + F.col("t2")).alias("total"))
+        moved = now.join(up, "p").select("node", F.col("pp").alias("p"), (F.col("total") + F.col("t2")).alias("total"), (F.col("p") != F.col("pp")).alias("moving"))
+        moved.write.mode("overwrite").parquet(f"{folder}/{step}")
+        moved = spark.read.schema(moved.schema).parquet(f"{folder}/{step}")
+        now = moved.drop("moving")
+        if not moved.where("moving").limit(1).count():
+            break
     return now.select("node", F.round("total", 6).alias("total"))

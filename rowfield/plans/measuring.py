@@ -156,7 +156,7 @@ t AS (SELECT ids.vineyard_id, coalesce(row_count, 0) AS row_count, coalesce(row_
 
 def _totals_sql(value: str, places: int) -> str:
     v = lambda c: value.format(c)
-    return BLOCKS_SQL + f"SELECT count(*) AS block_count, CAST(sum(row_count) AS BIGINT) AS row_count, CAST(sum(canopy_count) AS BIGINT) AS canopy_count, round(sum({v('row_length_m')}), 2) AS row_length_m, round(sum({v('canopy_area_m2')}), 2) AS canopy_area_m2, round(sum({v('interrow_area_m2')}), 2) AS interrow_area_m2, round(sum({v('interrow_area_m2')}) / 10000, {places}) AS interrow_area_ha FROM t"
+    return BLOCKS_SQL + f"SELECT count(*) AS block_count, CAST(sum(row_count) AS BIGINT) AS row_count, CAST(sum(canopy_count) AS BIGINT) AS canopy_count, round(round(sum({v('row_length_m')}), 4), 2) AS row_length_m, round(round(sum({v('canopy_area_m2')}), 4), 2) AS canopy_area_m2, round(round(sum({v('interrow_area_m2')}), 4), 2) AS interrow_area_m2, round(sum({v('interrow_area_m2')}) / 10000, {places}) AS interrow_area_ha FROM t"
 
 
 QUERIES = {
@@ -176,7 +176,7 @@ FROM row_pieces GROUP BY GROUPING SETS ((vineyard_id, row_id), (vineyard_id), ()
     "axial_directions": (axial_directions, """
 SELECT vineyard_id, round(CASE WHEN d < 0 THEN d + 180 ELSE d END, 5) AS direction FROM (SELECT vineyard_id, degrees(atan2(sum(length_m * sin(radians(a * 2))), sum(length_m * cos(radians(a * 2))))) / 2 AS d
 FROM (SELECT vineyard_id, length_m, (piece % 13) * 0.7e0 + CAST(substr(vineyard_id, 2, 2) AS INTEGER) * 7e0 - 3 AS a FROM row_pieces) GROUP BY 1)"""),
-    "row_attributes": (row_attributes, "SELECT row_id, round(avg(coalesce(confidence, 0.7e0)), 3) AS confidence, CASE WHEN bool_or(row_structure = 'disrupted') THEN 'disrupted' WHEN bool_or(row_structure = 'regular') THEN 'regular' ELSE 'unassessable' END AS row_structure FROM row_pieces GROUP BY 1"),
+    "row_attributes": (row_attributes, "SELECT row_id, floor(round(avg(coalesce(confidence, 0.7e0)), 6) * 1000 + 0.5e0) / 1000 AS confidence, CASE WHEN bool_or(row_structure = 'disrupted') THEN 'disrupted' WHEN bool_or(row_structure = 'regular') THEN 'regular' ELSE 'unassessable' END AS row_structure FROM row_pieces GROUP BY 1"),
     "spacings": (spacings, "SELECT vineyard_id, coalesce(median(step), 2.5e0) AS spacing FROM (SELECT vineyard_id, y0 - lag(y0) OVER (PARTITION BY vineyard_id ORDER BY y0) AS step FROM (SELECT DISTINCT vineyard_id, y0 FROM row_pieces)) GROUP BY 1"),
     "extents": (extents, "SELECT kind, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM spots GROUP BY 1"),
     "cover_classes": (cover_classes, """

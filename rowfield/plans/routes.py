@@ -18,7 +18,7 @@ def derived_targets(spark, sf_dir):
 
 
 def audit_sample(spark, sf_dir):
-    rows = driver.row_pieces(spark, sf_dir).groupBy("vineyard_id", "row_id").agg(F.round(F.avg("confidence"), 3).alias("confidence"))
+    rows = driver.row_pieces(spark, sf_dir).groupBy("vineyard_id", "row_id").agg((F.floor(F.round(F.avg("confidence"), 6) * 1000 + 0.5) / 1000).alias("confidence"))
     return T.audit_sample(rows)
 
 
@@ -144,7 +144,7 @@ def sweep_costs(spark, sf_dir):
 def path_sums(spark, sf_dir):
     t = driver.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.floor(F.col("p_partkey") / 2).cast("long").alias("parent"), F.col("p_size").cast("double").alias("w"))
     least = t.agg(F.min("node")).first()[0] or 0
-    return R.path_sums(t.withColumn("parent", F.when(F.col("node") <= least, F.col("node")).otherwise(F.greatest("parent", F.lit(least)))))
+    return R.path_sums(t.withColumn("parent", F.when(F.col("node") <= least, F.col("node")).otherwise(F.greatest("parent", F.lit(least)))), scratch(spark, "paths"))
 
 
 def _block_pieces(spark, sf_dir):
@@ -191,7 +191,7 @@ wlk AS (SELECT scope, r, c FROM cel WHERE k = 'g' EXCEPT SELECT scope, r, c FROM
 QUERIES = {
     "derived_targets": (derived_targets, "SELECT concat('gap-', row_id, '-', tile, '-', CAST(piece AS VARCHAR)) AS id, 'inspection' AS kind, round(x0 + length_m / 2, 4) AS x, y0 AS y, vineyard_id, row_id FROM row_pieces WHERE row_structure = 'disrupted' UNION ALL SELECT concat('waste-', CAST(id AS VARCHAR)), 'waste', round(x, 4), y, '', '' FROM spots WHERE kind = 'waste'"),
     "audit_sample": (audit_sample, """
-WITH r AS (SELECT vineyard_id, row_id, round(avg(confidence), 3) AS confidence FROM row_pieces GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY vineyard_id ORDER BY confidence, row_id) AS c, row_number() OVER (PARTITION BY vineyard_id ORDER BY row_id) AS i, count(*) OVER (PARTITION BY vineyard_id) AS n FROM r)
+WITH r AS (SELECT vineyard_id, row_id, floor(round(avg(confidence), 6) * 1000 + 0.5e0) / 1000 AS confidence FROM row_pieces GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY vineyard_id ORDER BY confidence, row_id) AS c, row_number() OVER (PARTITION BY vineyard_id ORDER BY row_id) AS i, count(*) OVER (PARTITION BY vineyard_id) AS n FROM r)
 SELECT vineyard_id, row_id, CASE WHEN c <= 2 THEN 'low confidence' ELSE 'median sample' END AS reason, round(1 + 2 * (1 - confidence), 3) AS priority FROM m WHERE c <= 2 OR (n > 2 AND i = n // 2 + 1)"""),
     "weakest_strips": (weakest_strips, "SELECT vineyard_id, (min({'c': confidence, 'id': id})).id AS id, min(confidence) AS confidence FROM (SELECT *, round(least(1e0, 0.55e0 + 2 * least(abs(veg_frac - 0.25e0), abs(veg_frac - 0.75e0))), 6) AS confidence FROM interrows) GROUP BY 1"),
     "running_ids": (running_ids, """

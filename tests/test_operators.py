@@ -120,9 +120,9 @@ def test_viterbi_and_merged_steps(spark):
     assert [(r["metres"], r["heading"]) for r in R.merged_steps(steps).orderBy("step").collect()] == [(32.0, 10.0), (30.0, 90.0)]
 
 
-def test_pointer_doubling(spark):
+def test_pointer_doubling(spark, tmp_path):
     tree = spark.createDataFrame([(0, 0, 9.0), (1, 0, 1.0), (2, 1, 2.0), (3, 2, 3.0), (4, 3, 4.0)], "node int, parent int, w double")
-    assert {r["node"]: r["total"] for r in R.path_sums(tree).collect()} == {0: 0, 1: 1, 2: 3, 3: 6, 4: 10}
+    assert {r["node"]: r["total"] for r in R.path_sums(tree, f"file://{tmp_path}").collect()} == {0: 0, 1: 1, 2: 3, 3: 6, 4: 10}
 
 
 def test_targets(spark):
