@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-along = Window.partitionBy("id").orderBy("pos")
+
+def along() -> WindowSpec:
+    return Window.partitionBy("id").orderBy("pos")
 
 
 def otsu(values: DataFrame, by: str, low: float = -0.2, high: float = 0.6, bins: int = 256) -> DataFrame:
@@ -26,7 +29,7 @@ def otsu(values: DataFrame, by: str, low: float = -0.2, high: float = 0.6, bins:
 
 def islands(flags: DataFrame) -> DataFrame:
     """id, start, stop, n: runs of positions with `on`, by the difference of two numberings."""
-    n = F.row_number().over(along)
+    n = F.row_number().over(along())
     k = F.row_number().over(Window.partitionBy("id", "on").orderBy("pos"))
     return flags.withColumn("g", n - k).where("on").groupBy("id", "g").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"), F.count(F.lit(1)).alias("n")).drop("g")
 
@@ -39,14 +42,14 @@ def gap_totals(flags: DataFrame) -> DataFrame:
 
 def closing(flags: DataFrame, half: int) -> DataFrame:
     """Dilate, then erode, by `half` positions; beyond the ends counts as off, so borders erode."""
-    near = along.rowsBetween(-half, half)
+    near = along().rowsBetween(-half, half)
     v = flags.withColumn("d", F.max(F.col("on").cast("int")).over(near))
     whole = F.count(F.lit(1)).over(near) == 2 * half + 1
     return v.withColumn("closed", (F.min("d").over(near) == 1) & whole).drop("d")
 
 
 def opening(flags: DataFrame, half: int) -> DataFrame:
-    near = along.rowsBetween(-half, half)
+    near = along().rowsBetween(-half, half)
     whole = F.count(F.lit(1)).over(near) == 2 * half + 1
     v = flags.withColumn("e", F.when((F.min(F.col("on").cast("int")).over(near) == 1) & whole, 1).otherwise(0))
     return v.withColumn("opened", F.max("e").over(near) == 1).drop("e")
@@ -54,7 +57,7 @@ def opening(flags: DataFrame, half: int) -> DataFrame:
 
 def smoothed(values: DataFrame, half: int) -> DataFrame:
     """Rolling mean and median over 2 half + 1 positions, fewer at the ends."""
-    near = along.rowsBetween(-half, half)
+    near = along().rowsBetween(-half, half)
     middle = F.array_sort(F.collect_list("v").over(near))
     n = F.size("_near")
     lower, upper = F.get("_near", F.floor((n - 1) / 2).cast("int")), F.get("_near", F.floor(n / 2).cast("int"))
@@ -90,7 +93,7 @@ def peaks(values: DataFrame, height: float) -> DataFrame:
     """id, pos, v, shift: strict local maxima of at least `height`, refined by a parabola."""
     from rowfield.functions.scalars import parabolic_peak
 
-    v = values.withColumns({"before": F.lag("v").over(along), "after": F.lead("v").over(along)})
+    v = values.withColumns({"before": F.lag("v").over(along()), "after": F.lead("v").over(along())})
     return v.where("v > before AND v > after").where(F.col("v") >= height).withColumn("shift", parabolic_peak(F.col("before"), F.col("v"), F.col("after"))).drop("before", "after")
 
 

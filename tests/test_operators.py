@@ -53,7 +53,7 @@ def test_offsets_fall_into_rows(spark):
 
 def test_stitching_by_axes(spark):
     box = lambda i, t, a, x: (i, t, a, x, 0.0, x + 10, 10.0)
-    rows = [box(1, "a", 179.0, 0.0), box(2, "b", 2.0, 12.9), box(3, "c", 90.0, 25.0), box(4, "d", None, 38.5), box(5, "a", 0.0, 3.0), box(6, "e", 0.0, 60.0)]
+    rows = [box(1, "a", 179.0, 0.0), box(2, "b", 2.0, 12.9), box(3, "c", 90.0, 25.0), box(4, "d", None, 37.9), box(5, "a", 0.0, 3.0), box(6, "e", 0.0, 60.0)]
     df = spark.createDataFrame(rows, "id int, tile string, angle double, xmin double, ymin double, xmax double, ymax double")
     assert {(r["a"], r["b"]) for r in H.stitch_edges(df).collect()} == {(1, 2), (2, 5), (3, 4)}
 
