@@ -3,7 +3,11 @@
 The vocabularies' pre-tokenizers never join what stands before a space with what follows it, if a non-space does. So
 a text is cut there, each distinct piece is encoded by the library once, and texts are put together from the pieces.
 Texts in which a space is followed by white space, or that end in one, are cut by a pattern that only cuts where it is
-safe. The cache is bounded: it is emptied when it is full.
+safe. The cache is bounded: once it is full, the words it has stay, as the frequent ones come early; it is emptied and
+filled anew when twice as many others have been encoded since, as then the texts have changed.
+
+Pieces that aren't known yet go to the library many at a time, as one text with a mark between them. The mark is a
+control character between spaces, whose ids no other text gives, so the ids fall apart at the marks.
 """
 
 from __future__ import annotations
@@ -13,9 +17,12 @@ import re
 
 import numpy as np
 
-#: Pieces that the cache holds at most; longer pieces than MAX_PIECE are encoded, but not kept.
-CACHE = 250_000
+#: Pieces that the cache holds at most, about 200 bytes each; longer pieces than MAX_PIECE are encoded, but not kept.
+CACHE = 800_000
 MAX_PIECE = 64
+MARK = "\x01"
+#: Pieces that are put together with marks.
+JOINED = 256
 _ODD = re.compile(r" (?:\s|\Z)")
 _SAFE = re.compile(r"(?= \S)")
 
@@ -29,17 +36,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced, self.limit, self.known = spaced, cache, {}
+        self.spaced, self.limit, self.known, self.passed = spaced, cache, {}, 0
+        # the ids of a mark, as they stand between two pieces; none if they can't be told apart from others
+        one, two, both = self._ids("a"), self._ids(" b" if spaced else "b"), self._ids(f"a {MARK} b")
+        sep = both[len(one) : len(both) - len(two)]
+        self.mark = sep if sep and both == one + sep + two and sep[-1] not in self._ids(" ") else []
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; pieces have no mark in them."""
+        glue = f" {MARK}" if self.spaced else f" {MARK} "
+        parts = [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]
+        out: list[bytes] = []
+        for part, made in zip(parts, self.tokenizer.encode_batch_fast([glue.join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, "<u4")
+            stops = np.flatnonzero(ids == self.mark[-1]) - (len(self.mark) - 1)
+            data, starts = ids.tobytes(), np.concatenate([[0], stops + len(self.mark)])
+            if len(starts) != len(part):
+                raise ValueError("a mark's ids occur elsewhere")
+            out += [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), [*stops.tolist(), len(ids)], strict=True)]
+        return out
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        fresh = list(pieces)
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        extra = {}
-        for piece, data in zip(fresh, ids, strict=True):
-            (self.known if len(piece) <= MAX_PIECE else extra)[piece] = data
-        return extra
+        # spaced pieces start with a space and none ends in one, so a mark stands off from both of its neighbours
+        plain = [p for p in pieces if self.mark and MARK not in p and (p[:1] == " " and not p[-1:].isspace() if self.spaced else p.strip() == p and p)]
+        rest = list(pieces.difference(plain))
+        ids = [*self._many(plain), *(np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))]
+        fresh = dict(zip([*plain, *rest], ids, strict=True))
+        if len(self.known) < self.limit:
+            self.known.update((p, data) for p, data in fresh.items() if len(p) <= MAX_PIECE)
+        else:
+            self.passed += len(fresh)
+            if self.passed > 2 * self.limit:
+                self.passed = 0
+                self.known.clear()
+        return fresh
 
     def _pieces(self, text: str) -> list[str]:
         if _ODD.search(text):
@@ -53,19 +86,11 @@ class Encoder:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             cut = [self._pieces(t or "") for t in texts[at : at + 256]]
-            missing: set[str] = set()
-            for pieces in cut:
-                missing.update(pieces)
-            missing.difference_update(self.known)
-            if len(self.known) + len(missing) > self.limit:
-                missing = set().union(*cut)
-                self.known.clear()
-            extra = self._learn(missing) if missing else {}
-            if extra:
-                get = lambda p, a=self.known, b=extra: a[p] if p in a else b[p]
-                out += [b"".join(map(get, pieces)) for pieces in cut]
-            else:
-                out += [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+            found = [list(map(self.known.get, pieces)) for pieces in cut]
+            missing = {p for pieces, parts in zip(cut, found, strict=True) if None in parts for p, data in zip(pieces, parts, strict=True) if data is None}
+            fresh = self._learn(missing) if missing else {}
+            for pieces, parts in zip(cut, found, strict=True):
+                out.append(b"".join(fresh[p] if data is None else data for p, data in zip(pieces, parts, strict=True)) if None in parts else b"".join(parts))
         return out
 
 
