@@ -7,10 +7,10 @@ Sampling. A source's documents all get the expected number of copies f = target
 for sure and one more with probability p = f - floor(f). These p move by the cube method: of three documents at a time,
 a vector in the null-space of the constraints (document count and word total) shifts the p until one of them is 0 or 1,
 which leaves both totals exactly where they were. When fewer than three are left, the landing rounds them so that the
-word total comes nearest. Documents are taken from long to short, so what is left to land are the shortest ones.
+word total comes nearest, and makes up for what it is still off by swapping a few documents.
 
 Scale. Flights run in blocks of documents (by a hash within a source) of bounded size; each leaves at most two open
-documents, and these meet again in blocks of the next level, until a source is one block. So a source that holds a
+documents and RESERVE of several lengths, and these meet again in blocks of the next level, until a source is one block. So a source that holds a
 third of all rows is many blocks, and no task gets an unbounded group. All choices come from hashes: reruns agree.
 
 Defined cases: a null text has no words; a null source is a source of its own, the last; sources without words have
@@ -19,6 +19,7 @@ target 0 and take nothing; rows are decided one by one, also if they repeat; an
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
@@ -33,6 +34,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST_COPIES = 2.0
 BLOCK = 1024
+#: Documents of several lengths that a block leaves open for the levels above, so that a landing has some to make up with.
+RESERVE = 6
 #: Sources up to which the target table is worked out in one sorted pass on the driver; it has a row a source.
 MAX_SOURCES = 1_000_000
 MAX_BROADCAST = 100_000
@@ -82,15 +85,34 @@ def flight(p: list[float], size: list[int], draws: list[float]) -> list[float]:
     return p
 
 
-def land(p: list[float], size: list[int]) -> list[float]:
-    """Round the few open probabilities so that the word total comes nearest to its expectation, then the count."""
+def land(p: list[float], size: list[int], swaps: int = 16) -> list[float]:
+    """Round the few open probabilities so that the word total comes nearest to its expectation, then the count. What
+    remains is made up for by swaps of a taken for another document, which leave the count as it is: each time the pair
+    that brings the total nearest."""
     open_ = [j for j, x in enumerate(p) if _EPS < x < 1 - _EPS]
-    off = lambda m, w: abs(sum(w[j] * ((m >> k & 1) - p[j]) for k, j in enumerate(open_)))
+    off = lambda m, w: sum(w[j] * ((m >> k & 1) - p[j]) for k, j in enumerate(open_))
     one = [1] * len(p)
-    best = min(range(1 << len(open_)), key=lambda m: (off(m, size), off(m, one), m))
+    best = min(range(1 << len(open_)), key=lambda m: (abs(off(m, size)), abs(off(m, one)), m))
     out = [float(round(x)) for x in p]
     for k, j in enumerate(open_):
         out[j] = float(best >> k & 1)
+    over = off(best, size)
+    sides = [sorted((n, j) for j, n in enumerate(size) if out[j] == taken) for taken in (0.0, 1.0)]
+    for _ in range(swaps):
+        free, taken = sides
+        pairs = []
+        for n, j in taken:
+            at = bisect_left(free, (n - over, -1))
+            pairs += [(abs(over - n + free[k][0]), j, free[k][1]) for k in (at - 1, at) if 0 <= k < len(free)]
+        left, j, k = min(pairs, default=(abs(over), -1, -1))
+        if left >= abs(over) - _EPS:
+            break
+        out[j], out[k] = 0.0, 1.0
+        over += size[k] - size[j]
+        free[bisect_left(free, (size[k], k))] = (size[j], j)
+        taken[bisect_left(taken, (size[j], j))] = (size[k], k)
+        free.sort()
+        taken.sort()
     return out
 
 
@@ -106,8 +128,14 @@ def _level(last: bool):
     def run(block: pa.Table) -> pa.Table:
         block = block.take(pc.sort_indices(block, sort_keys=[("size", "descending"), ("draw", "ascending")])).combine_chunks()
         size = block["size"].to_pylist()
-        p = flight(block["p"].to_pylist(), size, _draws(block["draw"].to_numpy()))
-        return block.set_column(block.schema.get_field_index("p"), "p", pa.array(land(p, size) if last else p, pa.float64()))
+        p, draws = block["p"].to_pylist(), _draws(block["draw"].to_numpy())
+        words = sum(n > 0 for n in size)
+        apart = set() if last else {words * k // (RESERVE + 1) for k in range(1, RESERVE + 1) if words > 2 * RESERVE}
+        flying = [i for i in range(len(p)) if i not in apart]
+        for i, x in zip(flying, flight([p[i] for i in flying], [size[i] for i in flying], [draws[i] for i in flying]), strict=True):
+            p[i] = x
+        p = land(p, size) if last else p
+        return block.set_column(block.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return run
 
@@ -123,7 +151,7 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "size")
 
 
 def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """key, source, size, source_size, target, copies (0, 1 or 2) of every row of docs."""
+    """`block` is over 2 + RESERVE. key, source, size, source_size, target, copies (0, 1 or 2) of every row of docs."""
     sized, _ = written(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sized")
     of = source_targets(sized)
     few = of.count() <= MAX_BROADCAST
@@ -144,8 +172,8 @@ def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
         parts.append(flown if last else flown.where(~still))
         if last:
             break
-        # at most two of a block are open, so a source's next blocks follow from its blocks now
-        rows = flown.where(still).withColumn("blocks", F.ceil(F.col("blocks") * 2 / block).cast("long"))
+        # so many of a block are open at most, so a source's next blocks follow from its blocks now
+        rows = flown.where(still).withColumn("blocks", F.ceil(F.col("blocks") * (2 + RESERVE) / block).cast("long"))
         level += 1
     out = reduce(DataFrame.unionByName, parts)
     return out.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", (F.col("sure") + F.col("p")).cast("int").alias("copies"))
