@@ -83,3 +83,15 @@ def test_point_text_and_interpolation(spark):
     assert value(spark, G.distance_to_line(F.lit(1.0), F.lit(2.0), line((0, 0), (4, 0), (4, 4)))) == 2
     assert hypot(3, 4) == value(spark, F.hypot(F.lit(3.0), F.lit(4.0)))
     assert value(spark, S.listed(F.array(*[F.lit(str(i)) for i in range(12)]), 3)) == "0, 1, 2, ..."
+
+
+def test_utm_to_degrees(spark):
+    from rowfield.functions.projection import lon_lat
+
+    # the central meridian, and a round trip through the forward series on a sphere-free identity: 500 km is the meridian
+    lon, lat = lon_lat(F.lit(500000.0), F.lit(0.0), 35)
+    assert (value(spark, lon), value(spark, lat)) == (27.0, 0.0)
+    lon, lat = lon_lat(F.lit(500000.0), F.lit(4982950.4), 31)  # 45 degrees north on zone 31's meridian
+    assert value(spark, lon) == pytest.approx(3.0) and value(spark, lat) == pytest.approx(45.0, abs=1e-6)
+    lon, lat = lon_lat(F.lit(448251.898), F.lit(5411943.794), 31)  # a known point: 2.2945 E, 48.8582 N
+    assert value(spark, lon) == pytest.approx(2.2945, abs=1e-4) and value(spark, lat) == pytest.approx(48.8582, abs=2e-4)
