@@ -6,37 +6,65 @@ DataFrame. All but the last return the columns of `documents`; the last returns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowfield.llm import cube_mix, host_rules, packing, simhash, suffix_dedup
-from rowfield.llm.common import scratch_path, table
+from rowfield.llm.common import remove, scratch_made, scratch_path, table
 from rowfield.llm.queries import WORD_BPE
 
 #: Bytes that a document must keep to stay after its repeated passages are cut.
 LEAST_BYTES = 1
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch folders of the last stage that was called. Its output has been written when the next one gets it.
+_LAST: list[str] = []
+
+
+def _stage(run: Stage) -> Stage:
+    """A stage first removes the scratch folders of the stage before it."""
+
+    @wraps(run)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in _LAST:
+            remove(spark, path)
+        before = len(scratch_made())
+        out = run(spark, docs, sf_dir)
+        _LAST[:] = scratch_made(before)
+        return out
+
+    return staged
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return host_rules.filter_documents(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays, that with the smallest id."""
     return simhash.deduplicate(docs)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated byte strings go from the texts; a document of which nothing is left goes."""
     return suffix_dedup.cut_documents(docs, least_bytes=LEAST_BYTES)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return cube_mix.mix(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of windows of 4,096 ids."""
     return packing.pack(docs, WORD_BPE, end_id=2).withColumn("ids_crc32", F.crc32("ids"))

@@ -27,17 +27,29 @@ def shared_root(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Scratch folders that were made and not removed, in order.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     path = f"{shared_root(spark)}/rowfield-{kind}-{uuid.uuid4().hex}"
     atexit.register(_remove_quietly, spark, path)
+    _SCRATCH.append(path)
     return path
 
 
+def scratch_made(since: int = 0) -> list[str]:
+    """The scratch folders that are there, without the first `since`."""
+    return _SCRATCH[since:]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder, by the file system that its path names."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
 
 
 def _remove_quietly(spark: SparkSession, path: str) -> None:

@@ -190,4 +190,4 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         left = left.withColumn("_i", F.row_number().over(Window.partitionBy(alike).orderBy("_h")))
         alike = [*alike, "_i"]
     on = reduce(lambda x, y: x & y, (left[c].eqNullSafe(taken[c]) for c in alike))
-    return left.join(taken.where("_c > 0"), on).select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("_c")))).select("_doc.*")
+    return left.join(taken.where("_c > 0").hint("shuffle_hash"), on).select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("_c")))).select("_doc.*")
