@@ -40,7 +40,7 @@ def op2_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc_zip.load(warc_zip.save(table(spark, sf_dir, "pages")))
+    found = warc_zip.load(warc_zip.save(table(spark, sf_dir, "pages")), with_payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -20,6 +20,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -157,17 +158,46 @@ def save(pages: DataFrame, folder: str | None = None, key: str = "page_id", url:
     return made
 
 
+def _entries(package: str) -> list[tuple[int, int]]:
+    """(offset in the package's file, length) of its records, from its own index."""
+    with store.reading(package) as file:
+        members = {m.name: m for m in zip_reader.directory(file)}
+        base, lines = zip_reader.data_offset(file, members[DATA]), members[INDEX]
+        entries = [json.loads(x) for x in store.read_at(file, zip_reader.data_offset(file, lines), lines.size).splitlines()]
+    return [(base + e["offset"], e["length"]) for e in entries]
+
+
+def _read(package: str, places: Iterator[tuple[int, int]], with_payload: bool) -> Iterator[pa.RecordBatch]:
+    """Records at (offset, length), each by its range, in batches of bounded size."""
+    with store.reading(package) as file:
+        out, held = [], 0
+        for offset, length in places:
+            record = parse_record(zlib.decompress(store.read_at(file, offset, length), 31))
+            out.append(record if with_payload else record._replace(payload=None))
+            held += len(out[-1].payload or b"")
+            if len(out) >= 256 or held >= 1 << 20:
+                yield _batch(out)
+                out, held = [], 0
+        if out:
+            yield _batch(out)
+
+
+def _batch(rows: list[Record]) -> pa.RecordBatch:
+    kinds, pages, refers, urls, digests, sizes, payloads = zip(*rows, strict=True)
+    return pa.RecordBatch.from_pydict({"page_id": pa.array(pages, pa.int64()), "record_type": list(kinds), "refers_to": pa.array(refers, pa.int64()), "url": list(urls), "payload_digest": list(digests), "payload_bytes": pa.array(sizes, pa.int64()), "payload": pa.array(payloads, pa.binary())})
+
+
+_RECORDS = "page_id long, record_type string, refers_to long, url string, payload_digest string, payload_bytes long, payload binary"
+
+
 def index(manifest: DataFrame) -> DataFrame:
     """package, offset (of the record in the package's file), length: a row a record, from the packages' own indexes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for package in batch.column(0).to_pylist():
-                with store.reading(package) as file:
-                    members = {m.name: m for m in zip_reader.directory(file)}
-                    base, lines = zip_reader.data_offset(file, members[DATA]), members[INDEX]
-                    entries = [json.loads(x) for x in store.read_at(file, zip_reader.data_offset(file, lines), lines.size).splitlines()]
-                yield pa.RecordBatch.from_pydict({"package": [package] * len(entries), "offset": pa.array([base + e["offset"] for e in entries], pa.int64()), "length": pa.array([e["length"] for e in entries], pa.int64())})
+                entries = _entries(package)
+                yield pa.RecordBatch.from_pydict({"package": [package] * len(entries), "offset": pa.array([a for a, _ in entries], pa.int64()), "length": pa.array([n for _, n in entries], pa.int64())})
 
     return manifest.select("package").mapInArrow(run, "package string, offset long, length long")
 
@@ -177,25 +207,20 @@ def records(located: DataFrame, with_payload: bool = True) -> DataFrame:
     payload_digest, payload_bytes (both of the full payload, for revisits too) and payload (null for revisits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, name = None, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out = []
-                for package, offset, length in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    if package != name:
-                        if file:
-                            file.close()
-                        file, name = store.reading(package), package
-                    out.append(parse_record(zlib.decompress(store.read_at(file, offset, length), 31)))
-                kinds, pages, refers, urls, digests, sizes, payloads = zip(*out, strict=True)
-                yield pa.RecordBatch.from_pydict({"page_id": pa.array(pages, pa.int64()), "record_type": list(kinds), "refers_to": pa.array(refers, pa.int64()), "url": list(urls), "payload_digest": list(digests), "payload_bytes": pa.array(sizes, pa.int64()), "payload": pa.array(payloads if with_payload else [None] * len(out), pa.binary())})
-        if file:
-            file.close()
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for package, places in groupby(rows, key=lambda r: r[0]):
+                yield from _read(package, ((offset, length) for _, offset, length in places), with_payload)
 
-    return located.mapInArrow(run, "page_id long, record_type string, refers_to long, url string, payload_digest string, payload_bytes long, payload binary")
+    return located.mapInArrow(run, _RECORDS)
 
 
 def load(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """All records of all packages; a task takes whole packages, which `roll` bounds."""
-    packages = manifest.count()
-    return records(index(manifest.repartition(max(1, packages))), with_payload)
+    """All records of all packages: `index` and `records` in one pass. A task takes whole packages, which `roll` bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for package in batch.column(0).to_pylist():
+                yield from _read(package, iter(_entries(package)), with_payload)
+
+    return manifest.select("package").repartition(max(1, manifest.count())).mapInArrow(run, _RECORDS)

@@ -71,6 +71,7 @@ def test_archives_against_brute_force(spark):
     assert manifest.count() > 3
     got = warc_zip.load(manifest).collect()
     assert sorted(((str(x["page_id"]), x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"]) for x in got), key=str) == brute_pages(rows)
+    assert sorted(map(str, warc_zip.records(warc_zip.index(manifest)).collect())) == sorted(map(str, got))
     assert all((x["payload"] is None) == (x["record_type"] == "revisit") for x in got)
     with zipfile.ZipFile(manifest.first()["package"].removeprefix("file://")) as z:
         assert z.testzip() is None and {i.compress_type for i in z.infolist()} == {zipfile.ZIP_STORED}
