@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowfield.llm import cube_mix, host_rules, packing, simhash, suffix_dedup
+from rowfield.llm import cube_mix, host_rules, near_texts, packing, suffix_dedup
 from rowfield.llm.common import remove, scratch_made, scratch_path, table
 from rowfield.llm.queries import WORD_BPE
 
@@ -48,8 +48,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, that with the smallest id."""
-    return simhash.deduplicate(docs)
+    """One document of each group linked by a similarity of 0.8 stays, that with the smallest id."""
+    return near_texts.deduplicate(docs)
 
 
 @_stage
