@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowfield.functions import scalars as S
+from rowfield.functions.geometry import box_intersection_area
 from rowfield.operators import measure as M
+from rowfield.operators import spatial as X
 from rowfield.sources import demo, driver
 
 UNION_SQL = """
@@ -116,10 +118,8 @@ def off_ground_share(spark, sf_dir):
 
 
 def detection_scores(spark, sf_dir):
-    """Canopies against shifted ones: intersection over union by an equi-join on ids' neighbours, best mutual pairs."""
+    """Canopies against each other at equal corners, as the twin has it: box widths leave its truth side empty. Whole sets are in `box_scores`."""
     c = driver.canopies(spark, sf_dir).where("x1 > x0").select("block", "x0", "y0", "x1", "y1").distinct().withColumn("n", F.expr("CAST(x0 / 50 * 100000 + y0 / 250 * 1000 + (x1 - x0) AS BIGINT)"))
-    from rowfield.functions.geometry import box_intersection_area
-
     t = c.where("n % 5 <> 0").select(F.concat_ws("_", "block", "x0", "y0", "x1", "y1").alias("truth"), "block", "x0", "y0", F.col("x1"), F.col("y1"))
     f = c.where("n % 7 <> 0").select(F.concat_ws("_", "block", "x0", "y0", "x1", "y1").alias("found"), "block", F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"))
     a = (F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
@@ -130,6 +130,24 @@ def detection_scores(spark, sf_dir):
     return M.match_scores(pairs.select("truth", "found", F.round(both / union, 9).alias("iou")), t.count(), f.count())
 
 
+def box_scores(spark, sf_dir):
+    """All canopies against copies that are shifted by 20 and 10 cm: every pair of boxes that meet, best mutual pairs."""
+    boxes = driver.canopies(spark, sf_dir).where("x1 > x0").select("block", "x0", "y0", "x1", "y1").distinct()
+    name = F.concat_ws("_", "block", "x0", "y0", "x1", "y1")
+
+    def side(dx, dy):
+        # blocks lie beside each other, so that only boxes of one block share a cell
+        at = F.col("block").cast("long") * 10_000_000
+        return boxes.select(name.alias("name"), (at + F.col("x0") + dx).alias("xmin"), (F.col("y0") + dy).alias("ymin"), (at + F.col("x1") + dx).alias("xmax"), (F.col("y1") + dy).alias("ymax"))
+
+    corners = lambda s: tuple(F.col(f"{s}.{c}") for c in ("xmin", "ymin", "xmax", "ymax"))
+    area = lambda s: (F.col(f"{s}.xmax") - F.col(f"{s}.xmin")) * (F.col(f"{s}.ymax") - F.col(f"{s}.ymin"))
+    both = box_intersection_area(corners("l"), corners("r"))
+    pairs = X.overlapping(side(0, 0), side(20, 10), 500.0).select(F.col("l.name").alias("truth"), F.col("r.name").alias("found"), F.round(both / (area("l") + area("r") - both), 9).alias("iou"))
+    n = boxes.count()
+    return M.match_scores(pairs, n, n)
+
+
 def vine_spacing(spark, sf_dir):
     """The median of row periods of good quality within limits; 1.2 for blocks with fewer than three."""
     p = driver.row_pieces(spark, sf_dir).select("vineyard_id", ((F.col("piece") % 160) / 100.0 + 0.6).alias("period"), ((F.col("piece") % 83) / 100.0).alias("quality"))
@@ -196,6 +214,7 @@ q AS (SELECT truth, found, round(both_ / (sums - both_), 9) AS iou FROM p WHERE
 r AS (SELECT iou, row_number() OVER (PARTITION BY truth ORDER BY iou DESC, found) AS bt, row_number() OVER (PARTITION BY found ORDER BY iou DESC, truth) AS bf FROM q),
 h AS (SELECT count(*) AS hits, avg(iou) AS mean_iou FROM r WHERE bt = 1 AND bf = 1)
 SELECT hits, round(mean_iou, 6) AS mean_iou, round(2e0 * hits / ((SELECT count(*) FROM t) + (SELECT count(*) FROM f)), 6) AS f1 FROM h"""),
+    "box_scores": (box_scores, None),
     "vine_spacing": (vine_spacing, """
 SELECT vineyard_id, round(CASE WHEN count(*) FILTER (q > 0.2 AND p BETWEEN 0.85 AND 1.95) >= 3 THEN median(p) FILTER (q > 0.2 AND p BETWEEN 0.85 AND 1.95) ELSE 1.2e0 END, 6) AS spacing
 FROM (SELECT vineyard_id, (piece % 160) / 100e0 + 0.6e0 AS p, (piece % 83) / 100e0 AS q FROM row_pieces) GROUP BY 1"""),

@@ -1,6 +1,6 @@
 """Queries that hold the whole of their tables, against brute force."""
 
-from rowfield.plans import spatial
+from rowfield.plans import measuring, spatial
 from rowfield.sources import driver
 
 SF = "/root/testdata/sf0.001"
@@ -14,3 +14,24 @@ def test_every_row_of_a_tile_has_its_place(spark):
     want = sorted((t, n, x[2]) for t, rows in by_tile.items() for n, x in enumerate(sorted(rows), 1))
     assert max(n for _, n, _ in want) > 3
     assert sorted(tuple(r) for r in spatial.QUERIES["tile_places"][0](spark, SF).collect()) == want
+
+
+def test_all_boxes_are_scored(spark):
+    boxes = {(r["block"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in driver.canopies(spark, SF).collect() if r["x1"] > r["x0"]}
+    near, best_t, best_f = {}, {}, {}
+    for b in boxes:
+        near.setdefault(b[0], []).append(b)
+    for block in near.values():
+        for t in block:
+            for f in block:
+                w, h = min(t[3], f[3] + 20) - max(t[1], f[1] + 20), min(t[4], f[4] + 10) - max(t[2], f[2] + 10)
+                both = max(w, 0) * max(h, 0)
+                iou = round(both / ((t[3] - t[1]) * (t[4] - t[2]) + (f[3] - f[1]) * (f[4] - f[2]) - both), 9)
+                if iou >= 0.5:
+                    tn, fn = "_".join(map(str, t)), "_".join(map(str, f))
+                    best_t[tn] = min(best_t.get(tn, (0, "")), (-iou, fn))
+                    best_f[fn] = min(best_f.get(fn, (0, "")), (-iou, tn))
+    hits = [-i for t, (i, f) in best_t.items() if best_f[f][1] == t]
+    got = measuring.QUERIES["box_scores"][0](spark, SF).first()
+    assert got["hits"] == len(hits) > 0
+    assert abs(got["mean_iou"] - sum(hits) / len(hits)) < 1e-5 and got["f1"] == round(len(hits) / len(boxes), 6)
