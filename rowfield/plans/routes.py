@@ -49,25 +49,51 @@ def co_located_targets(spark, sf_dir):
     return T.co_located(s.select(F.floor(F.col("x") / 25).cast("long").alias("block"), F.col("id").alias("ord"), "id", "x", "y"))
 
 
-def walk_cells(spark, sf_dir):
-    """Walkable cells: strips and a path, without forbidden ground and canopies."""
+def _walk_cells(spark, sf_dir, scope="x0 < 60"):
+    """Walkable cells: strips and a path, without forbidden ground and canopies; of those of `scope`."""
     strips = driver.interrows(spark, sf_dir).select(F.col("block").alias("scope"), *[(F.col(c) / 100.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    boxes = driver.canopies(spark, sf_dir).select(F.col("block").alias("scope"), *[(F.col(c) / 100.0).alias(c) for c in ("x0", "y0", "x1", "y1")]).where("x0 < 60")
-    near = strips.where("x0 < 60")
+    boxes = driver.canopies(spark, sf_dir).select(F.col("block").alias("scope"), *[(F.col(c) / 100.0).alias(c) for c in ("x0", "y0", "x1", "y1")]).where(scope)
+    near = strips.where(scope)
     path = strips.select("scope").distinct().select("scope", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(2.0).alias("x1"), F.lit(100.0).alias("y1"))
     forbidden = strips.select("scope").distinct().select("scope", F.lit(20.0).alias("x0"), F.lit(10.0).alias("y0"), F.lit(30.0).alias("x1"), F.lit(20.0).alias("y1"))
     cells = lambda b: R.raster_boxes(b, 1.0)
     return R.walkable([cells(near), cells(path)], [cells(boxes), cells(forbidden)])
 
 
-def walk_edges(spark, sf_dir):
-    e = R.edges(walk_cells(spark, sf_dir), 1.0)
+def walk_cells(spark, sf_dir):
+    """The cells of the first 60 m, as the twin has them; `site_cells` has the whole site's."""
+    return _walk_cells(spark, sf_dir)
+
+
+def site_cells(spark, sf_dir):
+    return _walk_cells(spark, sf_dir, "true")
+
+
+def _edge_sums(cells):
+    e = R.edges(cells, 1.0)
     return e.groupBy("scope").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("metres"), 4).alias("metres"), F.count_if((F.col("r") != F.col("r2")) & (F.col("c") != F.col("c2"))).alias("diagonals"))
 
 
+def walk_edges(spark, sf_dir):
+    return _edge_sums(walk_cells(spark, sf_dir))
+
+
+def site_edges(spark, sf_dir):
+    return _edge_sums(site_cells(spark, sf_dir))
+
+
+def _snapped(spots, cells):
+    s = spots.select((F.col("id") % 25).cast("int").alias("scope"), "id", "x", (F.col("y") / 4).alias("y"))
+    return R.snap(s, cells, 1.0).select("id", "r", "c", "moved")
+
+
 def snapped_targets(spark, sf_dir):
-    s = driver.spots(spark, sf_dir).where("kind = 'inspection' AND x < 60").select((F.col("id") % 25).cast("int").alias("scope"), "id", "x", (F.col("y") / 4).alias("y"))
-    return R.snap(s, walk_cells(spark, sf_dir), 1.0).select("id", "r", "c", "moved")
+    return _snapped(driver.spots(spark, sf_dir).where("kind = 'inspection' AND x < 60"), walk_cells(spark, sf_dir))
+
+
+def site_targets(spark, sf_dir):
+    """Every inspection target on the whole site's cells; null cells where none is within 15 m."""
+    return _snapped(driver.spots(spark, sf_dir).where("kind = 'inspection'"), site_cells(spark, sf_dir))
 
 
 def _stops(spark, sf_dir):
@@ -205,6 +231,9 @@ SELECT tour, id AS "order", id, kind, round(CASE WHEN kind = 'waste' THEN 3e0 EL
 round(sum(step) OVER (PARTITION BY tour ORDER BY id), 1) AS cumulative_m FROM s"""),
     "co_located_targets": (co_located_targets, None),
     "walk_cells": (walk_cells, "WITH " + _CELLS + " SELECT * FROM wlk"),
+    "site_cells": (site_cells, None),
+    "site_edges": (site_edges, None),
+    "site_targets": (site_targets, None),
     "walk_edges": (walk_edges, "WITH " + _CELLS + """, e AS (SELECT a.scope, a.r <> b.r AND a.c <> b.c AS diagonal, a.r, a.c, b.r AS r2, b.c AS c2 FROM wlk a JOIN wlk b ON a.scope = b.scope AND ((b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1))),
 k AS (SELECT * FROM e WHERE NOT diagonal OR (EXISTS (SELECT 1 FROM wlk w WHERE w.scope = e.scope AND w.r = e.r AND w.c = e.c2) AND EXISTS (SELECT 1 FROM wlk w WHERE w.scope = e.scope AND w.r = e.r2 AND w.c = e.c)))
 SELECT scope, count(*) AS edges, round(sum(CASE WHEN diagonal THEN sqrt(2e0) ELSE 1e0 END), 4) AS metres, count(*) FILTER (diagonal) AS diagonals FROM k GROUP BY 1"""),

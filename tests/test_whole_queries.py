@@ -35,3 +35,34 @@ def test_all_boxes_are_scored(spark):
     got = measuring.QUERIES["box_scores"][0](spark, SF).first()
     assert got["hits"] == len(hits) > 0
     assert abs(got["mean_iou"] - sum(hits) / len(hits)) < 1e-5 and got["f1"] == round(len(hits) / len(boxes), 6)
+
+
+def test_walks_reach_the_whole_site(spark):
+    from math import ceil, hypot, sqrt
+
+    from rowfield.plans import routes
+
+    spans = lambda a, b: range(ceil(a - 0.5), ceil(b - 0.5))
+    ground, blocked = set(), set()
+    for layer, out in ((driver.interrows, ground), (driver.canopies, blocked)):
+        for s in layer(spark, SF).collect():
+            out.update((s["block"], r, c) for r in spans(s["y0"] / 100, s["y1"] / 100) for c in spans(s["x0"] / 100, s["x1"] / 100))
+    scopes = {s["block"] for s in driver.interrows(spark, SF).collect()}
+    for s in scopes:
+        ground.update((s, r, c) for r in range(100) for c in range(2))
+        blocked.update((s, r, c) for r in range(10, 20) for c in range(20, 30))
+    free = ground - blocked
+    assert {tuple(r) for r in routes.site_cells(spark, SF).collect()} == free and max(c for _, _, c in free) > 120
+    steps = lambda s, r, c: [(a, b) for a, b in ((0, 1), (1, 0), (1, 1), (1, -1)) if (s, r + a, c + b) in free and (not a or not b or {(s, r + a, c), (s, r, c + b)} <= free)]
+    want = {}
+    for s, r, c in free:
+        for a, b in steps(s, r, c):
+            want.setdefault(s, []).append(sqrt(a * a + b * b))
+    assert {r["scope"]: (r["edges"], r["metres"], r["diagonals"]) for r in routes.site_edges(spark, SF).collect()} == {s: (len(m), round(sum(m), 4), sum(x > 1 for x in m)) for s, m in want.items()}
+    got = {r["id"]: r for r in routes.site_targets(spark, SF).collect()}
+    targets = driver.spots(spark, SF).where("kind = 'inspection'").collect()
+    assert got.keys() == {t["id"] for t in targets} and max(t["x"] for t in targets) > 60
+    for t in targets:
+        d = [hypot(t["x"] - c - 0.5, t["y"] / 4 - r - 0.5) for s, r, c in free if s == t["id"] % 25]
+        moved = got[t["id"]]["moved"]
+        assert moved is None if min(d) > 15 else abs(moved - min(d)) < 1e-5
