@@ -9,10 +9,14 @@ smoothed rate of blocks). Features are cut into bins by quantiles. Each level of
 and curvature by node, feature and bin, a table of fixed size from which the driver takes the splits. Scores are SQL
 expressions over the features, so training and scoring run on DataFrame functions alone.
 
-Training takes at most `sample` labelled urls, those with the smallest hashes; the statistics of suffixes come from all
-labelled urls. Defined cases: a null url and one without :// have an empty host and path, fit no rule and are scored like
-any other; repeated rows count as often as they occur; without labels of both kinds nothing is blocked but by rules;
-an empty table gives an empty result.
+A labelled url's suffix statistics come from the labelled urls of the other folds, so that no label enters its own
+features; those of the other urls come from all labelled ones. `accuracy` measures on a fold that trained nothing.
+
+Training takes about `sample` labelled urls at most, those whose hash with their key lies under a threshold; the
+statistics of suffixes come from all labelled urls. Defined cases: a null url and one without :// have an empty host and
+path, fit no rule and are scored like any other; a url of any length is scored whole; of rules of one length the last of
+the list wins; a score of exactly 0.5 blocks; repeated rows count as often as they occur; without labels of both kinds
+nothing is blocked but by rules; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Settings:
     sample: int = 50_000
+    folds: int = 5
     rounds: int = 8
     depth: int = 3
     bins: int = 16
@@ -69,7 +74,7 @@ def _lexical(df: DataFrame) -> DataFrame:
     chars = F.array_distinct(F.split("_url", ""))
     share = lambda c: (n - F.length(F.replace(F.col("_url"), c, F.lit("")))) / n
     entropy = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-    query = F.regexp_extract("_url", r"\?([^#]*)", 1)
+    query = F.regexp_extract("_url", r"^[^#?]*\?([^#]*)", 1)  # what follows a # is no query
     return df.withColumns(
         {
             "length": n.cast("double"),
@@ -85,20 +90,25 @@ def _lexical(df: DataFrame) -> DataFrame:
     )
 
 
+def fold(key: str, s: Settings) -> Column:
+    """The fold of a row; rows of one url are in one fold."""
+    return F.pmod(F.xxhash64("_url", F.lit(5)), F.lit(s.folds)).cast("int")
+
+
 def featured(ruled: DataFrame, key: str, s: Settings) -> DataFrame:
-    """`decided` rows with the columns of FEATURES. Suffix statistics are joined by a broadcast if they are few."""
-    rows = _lexical(ruled)
-    block = F.avg((F.col("ruled") == "block").cast("double"))
-    known = ruled.where("ruled is not null")
-    total = known.agg(F.count(F.lit(1)).alias("n"), block.alias("rate")).first()
-    n, rate = max(total["n"], 1), total["rate"] or 0.0
-    by, _ = written(
-        known.groupBy(F.substring_index("host", ".", -1).alias("_suffix")).agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col("ruled") == "block").cast("double")).alias("_b")).select("_suffix", (F.col("_n") / n).alias("_share"), ((F.col("_b") + rate * s.suffix_prior) / (F.col("_n") + s.suffix_prior)).alias("_rate")),
-        "suffixes",
-    )
+    """`decided` rows with fold and the columns of FEATURES. Suffix statistics are joined by a broadcast if they are few."""
+    rows = _lexical(ruled).withColumn("fold", fold(key, s))
+    known = rows.where("ruled is not null").select("suffix", "fold", (F.col("ruled") == "block").cast("long").alias("b"))
+    counts = known.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
+    part = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(c))), F.lit(0)) for k in range(s.folds)])
+    by, _ = written(counts.groupBy(F.col("suffix").alias("_suffix")).agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"), part("n").alias("_ns"), part("b").alias("_bs")), "suffixes")
+    total = by.agg(F.sum("_n").alias("n"), F.sum("_b").alias("b")).first()
+    n, rate = max(total["n"] or 0, 1), (total["b"] or 0) / max(total["n"] or 0, 1)
     side = F.broadcast(by) if by.count() <= s.max_broadcast_suffixes else by
     joined = rows.join(side, rows["suffix"] == by["_suffix"], "left")
-    return joined.select(key, "host", "path", "rule", "ruled", "_url", *FEATURES[:-2], F.coalesce("_share", F.lit(0.0)).alias("suffix_share"), F.coalesce("_rate", F.lit(rate)).alias("suffix_blocks"))
+    other = lambda whole, parts: F.coalesce(F.when(F.col("ruled").isNull(), F.col(whole)).otherwise(F.col(whole) - F.col(parts)[F.col("fold")]), F.lit(0))
+    seen, blocks = other("_n", "_ns"), other("_b", "_bs")
+    return joined.select(key, "host", "path", "rule", "ruled", "_url", "fold", *FEATURES[:-2], (seen / n).alias("suffix_share"), ((blocks + rate * s.suffix_prior) / (seen + s.suffix_prior)).alias("suffix_blocks"))
 
 
 #: A tree is a leaf's value, or (feature, threshold, tree for values up to it, tree for the others).
@@ -159,8 +169,10 @@ def _best(hist: dict[tuple[int, int], tuple[float, float]], edges: list[list[flo
 
 def train(rows: DataFrame, key: str, s: Settings = Settings()) -> Model:
     """rows: `featured`. Sums of a level are one aggregation of at most nodes x features x bins rows."""
-    sample = rows.where("ruled is not null").orderBy(F.xxhash64("_url"), F.xxhash64(key)).limit(s.sample)
-    sample, _ = written(sample.select((F.col("ruled") == "block").cast("double").alias("y"), *FEATURES), "urls")
+    known = rows.where("ruled is not null")
+    share = min(1.0, s.sample / max(known.count(), 1))
+    chosen = F.pmod(F.xxhash64("_url", key), F.lit(1 << 32)) < int(share * (1 << 32))
+    sample, _ = written(known.where(chosen).select((F.col("ruled") == "block").cast("double").alias("y"), *FEATURES), "urls")
     counts = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b")).first()
     n, b = counts["n"], counts["b"] or 0.0
     if not 0 < b < n:
@@ -194,10 +206,20 @@ def train(rows: DataFrame, key: str, s: Settings = Settings()) -> Model:
     return model
 
 
+def score(model: Model) -> Column:
+    return 1.0 / (1.0 + F.exp(-model.odds()))
+
+
+def accuracy(rows: DataFrame, key: str, s: Settings = Settings(), held: int = 0) -> float | None:
+    """The share of the labelled urls of one fold whose label trees that were trained on the others give."""
+    model = train(rows.where(F.col("fold") != held), key, s)
+    right = (score(model) >= 0.5) == (F.col("ruled") == "block")
+    return rows.where((F.col("fold") == held) & F.col("ruled").isNotNull()).agg(F.avg(right.cast("int")).alias("a")).first()["a"]
+
+
 def judge(pages: DataFrame, rules=RULES, settings: Settings = Settings(), key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, verdict and score (the trees' probability of block) of every row of pages."""
     rows = featured(decided(pages, rules, key, url), key, settings)
     model = train(rows, key, settings)
-    score = 1.0 / (1.0 + F.exp(-model.odds()))
     verdict = F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return rows.withColumn("score", score).select(key, "host", "path", "rule", verdict.alias("verdict"), "score")
+    return rows.withColumn("score", score(model)).select(key, "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rowfield.llm import quality_qda as Q
 from rowfield.llm import url_gbt as U
@@ -90,10 +91,72 @@ def test_rules_and_verdicts(spark):
     ruled = [i for i, u in enumerate(many) if brute_rule(u)[3]]
     right = np.mean([(got[i]["score"] >= 0.5) == (got[i]["verdict"] == "block") for i in ruled])
     assert right > 0.85
+    rows = U.featured(U.decided(df), "page_id", U.Settings())
+    assert U.accuracy(rows, "page_id") > 0.85
     plan = U.judge(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def plain_train(x, y, s):
+    """Boosted trees over lists of rows: the same bins, every split tried on the rows themselves."""
+    names = U.FEATURES
+    edges = {}
+    for f in names:
+        values = sorted(r[f] for r in x)
+        edges[f] = sorted({values[max(0, int(np.ceil(i / s.bins * len(values))) - 1)] for i in range(1, s.bins)})
+    odds = np.full(len(x), np.log(sum(y) / (len(y) - sum(y))))
+    for _ in range(s.rounds):
+        p = 1 / (1 + np.exp(-odds))
+        g, h = p - np.array(y), p * (1 - p)
+
+        def grow(rows, level):
+            G, H = g[rows].sum(), h[rows].sum()
+            best = (1e-6, None)
+            for f in names:
+                for cut in edges[f]:
+                    low = np.array([i for i in rows if x[i][f] <= cut], int)
+                    gl, hl = g[low].sum(), h[low].sum()
+                    if min(hl, H - hl) < s.least_curvature:
+                        continue
+                    gain = gl * gl / (hl + s.penalty) + (G - gl) ** 2 / (H - hl + s.penalty) - G * G / (H + s.penalty)
+                    if gain > best[0] + 1e-9:
+                        best = gain, (f, cut)
+            if level < s.depth and best[1]:
+                f, cut = best[1]
+                grow([i for i in rows if x[i][f] <= cut], level + 1)
+                grow([i for i in rows if x[i][f] > cut], level + 1)
+            else:
+                odds[rows] -= s.rate * G / (H + s.penalty)
+
+        grow(list(range(len(x))), 0)
+    return 1 / (1 + np.exp(-odds))
+
+
+def test_trees_against_a_plain_version(spark):
+    s = U.Settings(rounds=3, depth=2, bins=8)
+    r = random.Random(8)
+    many = [f"http://{r.choice('abc')}{r.randrange(30)}.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'de', 'es', 'en/7'])}/{r.randrange(10 ** r.randint(1, 6))}{'?a=b' * r.randrange(3)}" for _ in range(400)]
+    rows = U.featured(U.decided(spark.createDataFrame(list(enumerate(many)), "page_id long, url string")), "page_id", s).where("ruled is not null")
+    model = U.train(rows, "page_id", s)
+    got = rows.withColumn("score", U.score(model)).collect()
+    want = plain_train([r.asDict() for r in got], [int(r["ruled"] == "block") for r in got], s)
+    assert len(got) > 120 and len(model.trees) == 3
+    assert np.allclose([r["score"] for r in got], want)
+
+
+def test_features(spark):
+    s = U.Settings()
+    many = ["http://h.com/p#x?a=b&c=d", "http://h.com/p?a=b&c=d#x?y", "http://h.com/en/1?", None, "http://x.com/en/" + "9" * 100_000]
+    got = {r["page_id"]: r for r in U.featured(U.decided(spark.createDataFrame(list(enumerate(many)), "page_id long, url string").withColumn("suffix", F.lit("x")).withColumn("fold", F.lit("y"))), "page_id", s).collect()}
+    assert [got[i]["parameters"] for i in range(5)] == [0, 2, 0, 0, 0]
+    assert got[4]["path_length"] == 100_004 and got[4]["digits"] > 0.99
+    # a labelled url's own label isn't in its statistics: both of them are alone in their folds, or share one
+    both = [got[2], got[4]]
+    for one, other in (both, both[::-1]):
+        seen = 0 if one["fold"] == other["fold"] else 1
+        assert one["suffix_blocks"] == (seen + s.suffix_prior) / (seen + s.suffix_prior) and one["suffix_share"] == seen / 2
+
+
 def test_trees_learn_and_edges(spark):
     df = spark.createDataFrame([(None, None), (1, "http://a.com/en/1"), (1, "http://a.com/en/1")], "page_id long, url string")
     assert [r["verdict"] for r in U.judge(df).orderBy("page_id").collect()] == ["allow", "block", "block"]
