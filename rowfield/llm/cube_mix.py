@@ -13,8 +13,10 @@ Scale. Flights run in blocks of documents (by a hash within a source) of bounded
 documents and RESERVE of several lengths, and these meet again in blocks of the next level, until a source is one block. So a source that holds a
 third of all rows is many blocks, and no task gets an unbounded group. All choices come from hashes: reruns agree.
 
-Defined cases: a null text has no words; a null source is a source of its own, the last; sources without words have
-target 0 and take nothing; rows are decided one by one, also if they repeat; an empty table gives an empty result.
+Defined cases: a null text has no words; a text of any length counts whole; a null source is a source of its own, the
+last; sources without words have target 0 and take nothing; rows are decided one by one, also if they repeat, and those
+that agree in id, source and size are interchangeable; ties of the landing go to the combination that comes first; an
+empty table gives an empty result; other columns, whatever their names, are not read and don't reach the result.
 """
 
 from __future__ import annotations
@@ -36,29 +38,10 @@ MOST_COPIES = 2.0
 BLOCK = 1024
 #: Documents of several lengths that a block leaves open for the levels above, so that a landing has some to make up with.
 RESERVE = 6
-#: Sources up to which the target table is worked out in one sorted pass on the driver; it has a row a source.
-MAX_SOURCES = 1_000_000
 MAX_BROADCAST = 100_000
 _EPS = 1e-9
 
 
-def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST_COPIES) -> list[float]:
-    """The target of each source, in order, by filling up to `most` times its size."""
-    weight = np.array([weights[i % len(weights)] for i in range(len(sizes))], float)
-    size = np.array(sizes, float)
-    out, open_, rest = np.zeros(len(size)), size > 0, budget * size.sum()
-    while open_.any():
-        share = rest * weight / weight[open_].sum()
-        full = open_ & (share > most * size)
-        if not full.any():
-            out[open_] = share[open_]
-            break
-        out[full] = most * size[full]
-        rest -= out[full].sum()
-        open_ &= ~full
-    return out.tolist()
-
-
 def flight(p: list[float], size: list[int], draws: list[float]) -> list[float]:
     """Move probabilities of documents, in order, until at most two are neither 0 nor 1. Keeps sum(p) and sum(p * size)."""
     p = list(p)
@@ -140,21 +123,47 @@ def _level(last: bool):
     return run
 
 
-def source_targets(sized: DataFrame, source: str = "source", size: str = "size") -> DataFrame:
-    """source, source_size, target; one row a source. The table of sources is checked to be small before it is collected."""
-    by = sized.groupBy(F.col(source).alias("_source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("source_docs")).limit(MAX_SOURCES + 1).collect()
-    if len(by) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    by.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
-    rows = [(r["_source"], r["source_size"], t, r["source_docs"]) for r, t in zip(by, targets([r["source_size"] for r in by]), strict=True)]
-    return sized.sparkSession.createDataFrame(rows, "_source string, source_size long, target double, source_docs long")
+def ranked(by: DataFrame, key: str) -> DataFrame:
+    """`by` with rank, the number of its rows before, in ascending order of key, nulls last. The rows are dealt out by ranges
+    once and written, so that the ranges' sizes and the rows in them are the same ones."""
+    order = F.col(key).asc_nulls_last()
+    dealt, _ = written(by.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # a row a task of the range exchange, whatever the number of rows
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return dealt.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + place - 1).drop("_part", "_start")
+
+
+def source_targets(sized: DataFrame, source: str = "source", size: str = "size", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST_COPIES) -> DataFrame:
+    """_source, source_size, target, source_docs; one row a source, of which any number may be.
+
+    A target is the least of `most` times the source's size and level times its weight. The level rises until the sources
+    that it doesn't fill take what the full ones leave of the budget; each step is one aggregation.
+    """
+    by = sized.groupBy(F.col(source).alias("_source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
+    weight = F.array(*map(F.lit, map(float, weights)))[(F.col("rank") % len(weights)).cast("int")]
+    of, _ = written(ranked(by, "_source").withColumn("_weight", weight), "sources")
+    cap, level, full = F.col("source_size") * F.lit(float(most)), 0.0, -1
+    while True:
+        is_full = cap <= F.col("_weight") * F.lit(level)
+        open_ = of.where("source_size > 0").agg(
+            F.sum(F.when(~is_full, F.col("_weight"))).alias("weight"),
+            F.coalesce(F.sum(F.when(is_full, cap)), F.lit(0.0)).alias("full"),
+            F.count(F.when(is_full, 1)).alias("n"),
+            F.sum("source_size").alias("all"),
+        ).first()
+        if open_["weight"] is None or open_["n"] == full:
+            break
+        level, full = (budget * open_["all"] - open_["full"]) / open_["weight"], open_["n"]
+    return of.select("_source", "source_size", F.least(cap, F.col("_weight") * F.lit(level)).alias("target"), "source_docs")
 
 
 def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK) -> DataFrame:
     """`block` is over 2 + RESERVE. key, source, size, source_size, target, copies (0, 1 or 2) of every row of docs."""
     sized, _ = written(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sized")
     of = source_targets(sized)
-    few = of.count() <= MAX_BROADCAST
+    few = of.count() <= MAX_BROADCAST  # a number and a name a source
     joined = sized.join(F.broadcast(of) if few else of, sized["source"].eqNullSafe(of["_source"]), "left").drop("_source")
     f = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST_COPIES))).otherwise(0.0)
     rows = joined.withColumns({"f": f, "draw": F.xxhash64("id", "size", F.lit(17))}).select(

@@ -1,16 +1,47 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowfield.llm import cube_mix as C
 
 
-def test_targets():
-    assert C.targets([]) == []
-    assert C.targets([100, 100, 100]) == pytest.approx([200.0, 250 / 3, 500 / 3])  # the first is full; 250 are shared 1 : 2
-    assert C.targets([0, 10]) == pytest.approx([0, 15])
-    t = C.targets([5, 1000, 30, 400])
-    assert sum(t) == pytest.approx(1.5 * 1435) and all(x <= 2 * s + 1e-9 for x, s in zip(t, [5, 1000, 30, 400], strict=True))
+def targets(sizes, weights=C.WEIGHTS):
+    """The plain way: share, stop the full ones, share what they leave."""
+    weight = [weights[i % len(weights)] for i in range(len(sizes))]
+    out, open_, rest = [0.0] * len(sizes), {i for i, n in enumerate(sizes) if n}, 1.5 * sum(sizes)
+    while open_:
+        share = {i: rest * weight[i] / sum(weight[j] for j in open_) for i in open_}
+        over = {i for i in open_ if share[i] > 2 * sizes[i]}
+        for i in over or open_:
+            out[i] = 2.0 * sizes[i] if over else share[i]
+        rest -= sum(2 * sizes[i] for i in over)
+        open_ = open_ - over if over else set()
+    return out
+
+
+def test_targets(spark):
+    r = random.Random(6)
+    for sizes in ([], [0, 0], [100, 100, 100], [0, 10], [5, 1000, 30, 400], [int(r.paretovariate(0.5)) for _ in range(700)]):
+        names = sorted(f"s{r.random()}é" for _ in sizes)
+        if len(names) > 2:
+            names[-1] = None  # the last
+        rows = [(n, s) for n, s in zip(names, sizes, strict=True)]
+        r.shuffle(rows)
+        got = {x["_source"]: x["target"] for x in C.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(5)).collect()}
+        assert [got[n] for n in names] == pytest.approx(targets(sizes))
+        assert sum(got.values()) == pytest.approx(1.5 * sum(sizes))
+
+
+def test_ranks_are_whole(spark):
+    df = spark.range(20_000).select((F.col("id") % 9_000 * 7).alias("k")).distinct().unionByName(spark.createDataFrame([(None,)], "k long"))
+    got = {r["k"]: r["rank"] for r in C.ranked(df.repartition(6), "k").collect()}
+    assert got == {7 * i: i for i in range(9_000)} | {None: 9_000}
+
+
+def test_a_long_text_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "w " * 300_000, "a", 1, 2), (2, "w", "a", 3, 4)], "doc_id long, text string, source string, size int, target int")
+    assert {r["doc_id"]: (r["size"], r["source_size"], r["target"]) for r in C.copies(df).collect()} == {1: (300_000, 300_001, 450_001.5), 2: (1, 300_001, 450_001.5)}
 
 
 def test_flights_keep_both_totals():
@@ -51,7 +82,7 @@ def test_takes_come_near_targets_and_reruns_agree(spark):
         assert abs(taken - target) <= 0.005 * target + 3  # the shortest documents have three words
         assert abs(n - docs * target / size) <= 2
     order = sorted(by, key=lambda s: (s is None, s or ""))
-    assert [by[s][1] for s in order] == pytest.approx(C.targets([by[s][2] for s in order]))
+    assert [by[s][1] for s in order] == pytest.approx(targets([by[s][2] for s in order]))
 
 
 def test_mix_repeats_rows(spark):
