@@ -2,12 +2,16 @@
 
 Every document is held against document rules. Failures are summed by host (for documents, the `source`), and each
 host's failure rate is shrunk towards the corpus by a beta prior that is itself estimated from the hosts (method of
-moments). The host verdicts go back to the documents: a document of a host with a bad shrunk rate must also pass the
-stricter rules, so a clean document stays whatever its host.
+moments). The host's verdict is the limit that its documents must keep: a document's excess is the largest of its
+measures as a multiple of the rule's threshold, and it stays if that is at most the odds of the prior's mean over the
+odds of the host's shrunk rate. So a host at the mean has limit 1, one with twice its odds has 1/2, and of a borderline
+document the host decides. The limit is held between `least_limit` and `most_limit`: a document with less than half of
+every threshold stays whatever its host, and one with more than 3/2 of one goes.
 
 Defined cases: a null or word-less text has no words and fails the base rule; a null host is a host of its own;
-repeated rows are judged and counted as often as they occur; an empty table gives an empty result; columns of the
-input that clash with the result's names are not read and don't reach the result.
+repeated rows are judged and counted as often as they occur; texts of any length are counted whole, those of 2**20 words
+or more by another order of the same windows; an excess equal to the limit stays; an empty table gives an empty result;
+columns of the input that clash with the result's names are not read and don't reach the result.
 """
 
 from __future__ import annotations
@@ -22,17 +26,15 @@ from rowfield.llm.common import SPACE, WORD, written
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds. Shares are of words, lines or letters; those with `strict_` hold in hosts with a bad verdict."""
+    """Thresholds. Shares are of words, lines or letters."""
 
     min_words: int = 50
     max_repeat_share: float = 0.5
     max_symbols_per_word: float = 0.15
     max_dup_line_share: float = 0.5
     max_upper_share: float = 0.5
-    strict_symbols_per_word: float = 0.08
-    strict_dup_line_share: float = 0.34
-    strict_upper_share: float = 0.3
-    bad_host_rate: float = 0.3
+    least_limit: float = 0.5
+    most_limit: float = 1.5
     max_broadcast_hosts: int = 100_000
 
 
@@ -86,31 +88,23 @@ def base_failed(r: Rules) -> Column:
     return (F.col("n_words") < r.min_words) | (F.col("n_repeat_words") > r.max_repeat_share * F.col("n_words"))
 
 
-def _over(part: str, whole: str, most: float) -> Column:
-    return F.col(part) > most * F.col(whole)
-
-
-def rule_failed(r: Rules) -> Column:
-    """Whether a document fails one of the rules that hold in every host, the base rule included."""
-    return (
-        base_failed(r)
-        | _over("n_symbols", "n_words", r.max_symbols_per_word)
-        | _over("n_dup_lines", "n_lines", r.max_dup_line_share)
-        | _over("n_upper", "word_chars", r.max_upper_share)
+def excess(r: Rules) -> Column:
+    """The largest measure of a document as a multiple of its threshold."""
+    part = lambda n, whole, most: F.when(F.col(whole) > 0, F.col(n) / (most * F.col(whole))).otherwise(0.0)
+    return F.greatest(
+        part("n_symbols", "n_words", r.max_symbols_per_word),
+        part("n_dup_lines", "n_lines", r.max_dup_line_share),
+        part("n_upper", "word_chars", r.max_upper_share),
     )
 
 
-def strictly_failed(r: Rules) -> Column:
-    return (
-        rule_failed(r)
-        | _over("n_symbols", "n_words", r.strict_symbols_per_word)
-        | _over("n_dup_lines", "n_lines", r.strict_dup_line_share)
-        | _over("n_upper", "word_chars", r.strict_upper_share)
-    )
+def rule_failed(r: Rules) -> Column:
+    """Whether a document counts as a failure of its host."""
+    return base_failed(r) | (excess(r) > 1)
 
 
 def host_verdicts(counted: DataFrame, host: str, r: Rules) -> DataFrame:
-    """One row a host: host_docs, host_failures, host_rate (shrunk) and host_bad.
+    """One row a host: host_docs, host_failures, host_rate (shrunk) and host_limit.
 
     The prior's mean is the mean of the hosts' rates and its strength a + b = m (1 - m) / v - 1, held between 1 and
     1,000,000, where v is the rates' variance between hosts less what sampling alone gives. Partial sums go before the
@@ -128,23 +122,25 @@ def host_verdicts(counted: DataFrame, host: str, r: Rules) -> DataFrame:
     between = max((row["_v"] or 0.0) - mean * (1 - mean) * (row["_inv"] or 0.0), 1e-9)
     strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6)
     shrunk = (F.col("host_failures") + mean * strength) / (F.col("host_docs") + strength)
-    return by.select("_host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > r.bad_host_rate).alias("host_bad"))
+    by = by.select("_host", "host_docs", "host_failures", shrunk.alias("host_rate"))
+    limit = (mean / (1 - mean)) * (1 - F.col("host_rate")) / F.col("host_rate")
+    return by.withColumn("host_limit", F.least(F.greatest(limit, F.lit(r.least_limit)), F.lit(r.most_limit)))
 
 
 def judged(counted: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """`counted` (a materialised result of `features`) with base_failed, kept, host_rate and host_bad.
+    """`counted` (a materialised result of `features`) with base_failed, kept, host_rate and host_limit.
 
     Hosts are broadcast if they are few enough; else they are joined by a shuffle, whose skewed partitions Spark splits.
     """
     hosts, _ = written(host_verdicts(counted, host, rules), "hosts")
     few = hosts.count() <= rules.max_broadcast_hosts
     joined = counted.join(F.broadcast(hosts) if few else hosts, counted[host].eqNullSafe(hosts["_host"]), "left")
-    kept = ~F.when(F.coalesce(F.col("host_bad"), F.lit(False)), strictly_failed(rules)).otherwise(rule_failed(rules))
+    kept = ~base_failed(rules) & (excess(rules) <= F.col("host_limit"))
     return joined.withColumns({"base_failed": base_failed(rules), "kept": kept}).drop("_host")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """Per row of docs: key, host, the counts, base_failed, kept, host_rate, host_bad."""
+    """Per row of docs: key, host, the counts, base_failed, kept, host_rate, host_limit."""
     counted, _ = written(features(docs, [key, host]), "rules")
     return judged(counted, host, rules)
 

@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowfield.llm import bitplane, cube_mix, host_rules, matroska, packing, quality_qda, simhash, suffix_dedup, tokens, url_gbt, warc_zip
+from rowfield.llm import bitplane, cube_mix, host_rules, matroska, oracles, packing, quality_qda, simhash, suffix_dedup, tokens, url_gbt, warc_zip
 from rowfield.llm.common import table
 
 
 def vocabulary(name: str) -> str:
-    """A public tokenizer's file: in the folder that TOKENIZER_DIR names, else where the package of these files has it."""
-    folder = os.environ.get("TOKENIZER_DIR")
-    if folder:
-        return os.path.join(folder, name)
+    """A public tokenizer's file, where the package of these files has it."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _encode(texts: list[str | None], name: str, spaced: bool) -> list[bytes]:
+def _encode(texts: pa.Array | list[str | None], name: str, spaced: bool) -> Iterator[bytes]:
     return tokens.encoder(vocabulary(name), spaced).encode(texts)
 
 
@@ -64,7 +62,7 @@ def op7_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_bad")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"), F.round("host_limit", 6).alias("host_limit"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +76,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_cube_mix, op3_warc_zip, op4_bitplane_tokens, op5_best_fit_packing, op6_matroska, op7_url_gbt, op8_host_rules, op9_simhash, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

@@ -2,7 +2,10 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from rowfield.llm import host_rules as H
+from rowfield.llm.common import table, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -42,16 +45,16 @@ def test_long_texts_use_whole_hashes(spark, monkeypatch):
 
 def test_host_rates_are_shrunk_and_clean_documents_stay(spark):
     clean = " ".join(f"word{i}" for i in range(80))
-    mild = " ".join(f"word{i}#" if i % 10 == 0 else f"word{i}" for i in range(80))
+    mild = " ".join(f"word{i}#" if i % 10 == 0 else f"word{i}" for i in range(80))  # 2/3 of the threshold
+    over = " ".join(f"word{i}#" if i % 6 == 0 else f"word{i}" for i in range(80))  # 7/6 of it
     junk = " ".join(f"word{i}###" for i in range(80))
-    rows = [(f"good{h}", clean) for h in range(5) for _ in range(40)] + [("bad", junk)] * 60 + [("bad", clean)] * 3 + [("bad", mild), ("good1", mild), ("tiny", junk), (None, clean), (None, None)]
+    rows = [(f"good{h}", clean) for h in range(5) for _ in range(40)] + [("bad", junk)] * 60 + [("bad", clean)] * 3 + [("bad", mild), ("good1", mild), ("good2", over), ("good1", junk), ("tiny", junk), (None, clean), (None, None)]
     df = spark.createDataFrame([(i, t, s, 1, "z") for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string, kept int, host_rate string")
     got = {r["doc_id"]: r for r in H.judge(df).collect()}
     assert len(got) == len(rows)
     for i, (s, t) in enumerate(rows):
-        bad = s == "bad"
-        assert got[i]["host_bad"] == bad or s in ("tiny", None)
-        assert got[i]["kept"] == (t == clean or (t == mild and not bad))
+        assert 0.5 <= got[i]["host_limit"] <= 1.5 and (got[i]["host_limit"] == 0.5) == (s in ("bad", "tiny"))
+        assert got[i]["kept"] == (t == clean or (t in (mild, over) and s != "bad"))
         assert got[i]["base_failed"] == (t is None)
     assert got[len(rows) - 3]["host_rate"] < 1  # one failure of one document is not taken at its word
     kept = H.filter_documents(df)
@@ -59,6 +62,15 @@ def test_host_rates_are_shrunk_and_clean_documents_stay(spark):
     assert H.judge(df.limit(0)).count() == 0
 
 
+def test_no_good_document_goes_and_no_bad_one_stays(spark):
+    """No document of these tables is borderline, so the hosts' limits, all near 1 here, decide none of them."""
+    sf = "/root/testdata/sf0.1"
+    got = H.judged(written(H.features(table(spark, sf, "documents"), ["doc_id", "source"]), "rules")[0])
+    both = got.join(table(spark, sf, "labels"), "doc_id").where("NOT base_failed")
+    assert both.where("kept <> (quality = 1)").count() == 0 and both.count() > 2000
+    assert got.select("host_limit").distinct().count() > 10
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
     plan = H.judge(df)._jdf.queryExecution().toString() + H.features(df, ["doc_id"])._jdf.queryExecution().toString()
