@@ -11,7 +11,8 @@ A corpus is a folder of such files in ascending document order, one for each ran
 gives the ids before each.
 
 Defined cases: null texts are empty and have the end id only; rows without an id come last; repeated rows are written as
-often as they occur, those of one id in order of their texts; an empty table gives an empty corpus.
+often as they occur, those of one id in order of their texts; a text of any length is written, block by block; an empty
+table gives an empty corpus; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowfield.llm import store
-from rowfield.llm.common import scratch_path, written
+from rowfield.llm.common import scratch_path, slices, written
 
 MAGIC = b"RFPLANE1"
 BLOCK = 1 << 16
 LEVEL = 3
+#: Ids of a batch of documents that is read back; a longer document is a batch of its own.
+OUT = 1 << 20
 _TRAILER = struct.Struct("<QQQQ8s")  # document table, chunk index, documents, ids, magic
 _CHUNK = struct.Struct("<QIB")  # offset, ids, planes; then one u32 a plane
 
@@ -153,7 +156,7 @@ class Reader:
         return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def save(docs: DataFrame, encode: Callable[[list[str | None]], list[bytes]], folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 0, bits: bool = True) -> list[dict]:
+def save(docs: DataFrame, encode: Callable[[pa.Array], Iterable[bytes]], folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 0, bits: bool = True) -> list[dict]:
     """Write docs in ascending order of key. Returns the manifest: file, documents, ids and start (the ids before it).
 
     Texts are dealt out by ranges of keys before they are encoded, so that each is encoded once and only texts move.
@@ -169,9 +172,7 @@ def save(docs: DataFrame, encode: Callable[[list[str | None]], list[bytes]], fol
         def rows() -> Iterator[tuple[int | None, bytes]]:
             batch = first
             while batch is not None:
-                names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for at in range(0, len(names), 256):
-                    yield from zip(names[at : at + 256], (ids + tail for ids in encode(texts[at : at + 256])), strict=True)
+                yield from zip(batch.column(0).to_pylist(), (ids + tail for ids in encode(batch.column(1))), strict=True)
                 batch = next(batches, None)
 
         name = store.new_file(folder, ".planes")
@@ -201,12 +202,12 @@ def load(spark, manifest: list[dict], key: str = "doc_id") -> DataFrame:
                     reader = Reader(file)
                     names, counts = reader.names_and_counts()
                     ends = np.cumsum(counts)
-                    for at in range(0, len(names), 512):
-                        stops = ends[at : at + 512].tolist()
-                        starts = (ends - counts)[at : at + 512].tolist()
+                    for lo, hi in slices(counts.tolist(), OUT):
+                        stops = ends[lo:hi].tolist()
+                        starts = (ends - counts)[lo:hi].tolist()
                         ids = reader.read(starts[0], stops[-1])
                         parts = [ids[a - starts[0] : b - starts[0]].tobytes() for a, b in zip(starts, stops, strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 512], pa.int64()), pa.array([base + a for a in starts], pa.int64()), pa.array(counts[at : at + 512], pa.int64()), pa.array(parts, pa.binary())], names=[key, "start", "n_tokens", "ids"])
+                        yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi], pa.int64()), pa.array([base + a for a in starts], pa.int64()), pa.array(counts[lo:hi], pa.int64()), pa.array(parts, pa.binary())], names=[key, "start", "n_tokens", "ids"])
 
     files = spark.createDataFrame([(r["file"], r["start"]) for r in manifest], "file string, start long").repartition(max(1, len(manifest)))
     return files.mapInArrow(run, f"{key} long, start long, n_tokens long, ids binary")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a temporary one in local
+    mode, in which all share one machine; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="rowfield-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -38,9 +44,9 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def scratch_made(since: int = 0) -> list[str]:
-    """The scratch folders that are there, without the first `since`."""
-    return _SCRATCH[since:]
+def scratch_made() -> list[str]:
+    """The scratch folders that are there."""
+    return list(_SCRATCH)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -68,6 +74,29 @@ def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Bytes of texts that become Python objects at a time; a longer text is a part by itself.
+PART = 8 << 20
+
+
+def slices(lengths: Sequence[int], most: int = PART) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of neighbours that are at most `most` together, or of one that is more by itself."""
+    first, held = 0, 0
+    for i, n in enumerate(lengths):
+        if i > first and held + n > most:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(lengths):
+        yield first, len(lengths)
+
+
+def texts_of(batch: pa.RecordBatch, column: int, most: int = PART) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """A batch in parts of bounded bytes, with the texts of a column."""
+    texts = batch.column(column)
+    for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most):
+        yield batch.slice(a, b - a), texts.slice(a, b - a).cast(pa.large_binary()).to_pylist()
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

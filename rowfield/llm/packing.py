@@ -12,7 +12,7 @@ document of any length is cut; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -106,7 +106,7 @@ def pack_round(pieces: list[Piece], window: int, slack: int, last: bool) -> tupl
     return full, now
 
 
-def pack(docs: DataFrame, encode: Callable[[list[str | None]], list[bytes]], end_id: int, key: str = "doc_id", text: str = "text", window: int = WINDOW, slack: int = SLACK, rounds: int = ROUND) -> DataFrame:
+def pack(docs: DataFrame, encode: Callable[[pa.Array], Iterable[bytes]], end_id: int, key: str = "doc_id", text: str = "text", window: int = WINDOW, slack: int = SLACK, rounds: int = ROUND) -> DataFrame:
     """Per piece: key, start (its document's ids before it), length, doc_tokens, sequence_id, offset (its place in the
     sequence) and ids (little-endian unsigned 32-bit). Sequence ids are a task's number and a count."""
     kind = T.StringType() if isinstance(docs.schema[key].dataType, T.StringType) else T.LongType()
@@ -140,16 +140,14 @@ def pack(docs: DataFrame, encode: Callable[[list[str | None]], list[bytes]], end
 
         empty = [pa.array([], pa.string() if isinstance(kind, T.StringType) else pa.int64()), *[pa.array([], pa.int64())] * 5, pa.array([], pa.binary())]
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(keys), 256):
-                for name, ids in zip(keys[lo : lo + 256], encode(texts[lo : lo + 256]), strict=True):
-                    data = ids + tail
-                    n = len(data) // _ID
-                    pieces += [(len(held), start, length) for start, length in cut_full(n, window)]
-                    held.append((name, 0, n, data))
-                    waiting += n
-                    if waiting >= rounds * window:
-                        yield from flush(False)
+            for name, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                data = ids + tail
+                n = len(data) // _ID
+                pieces += [(len(held), start, length) for start, length in cut_full(n, window)]
+                held.append((name, 0, n, data))
+                waiting += n
+                if waiting >= rounds * window:
+                    yield from flush(False)
         if pieces:
             yield from flush(True)
 

@@ -9,7 +9,7 @@ import pytest
 from rowfield.llm import bitplane, packing, tokens
 from rowfield.llm.queries import BYTE_BPE, WORD_BPE, vocabulary
 
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n b", "a \nb", "\n\n\na", "don't  I'll\t\tx", "x\u00a0y z", "a\u3000 b", "é è\u0301 ﬁ Å", "<|endoftext|> x <|startoftext|>", "1234 5 67", "a\x1cb \x1c c", "$$$ *** !!", "日本語 テキスト", "a" * 300 + " b", "\r\n a\r\nb", " \u0301x y", "İ ß Σς"]
+ODD = ["", "a <|endoftext|> b <|startoftext|>c", "x<|y", "it'sabc don'", "and,$$$ or.\nNext\n\nLast a1b2", "$\n a", "a.\n\n b", "“a” – b", "a \u2003b", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n b", "a \nb", "\n\n\na", "don't  I'll\t\tx", "x\u00a0y z", "a\u3000 b", "é è\u0301 ﬁ Å", "<|endoftext|> x <|startoftext|>", "1234 5 67", "a\x1cb \x1c c", "$$$ *** !!", "日本語 テキスト", "a" * 300 + " b", "\r\n a\r\nb", " \u0301x y", "İ ß Σς"]
 
 
 def many(seed=1):
@@ -23,9 +23,8 @@ def test_the_cache_changes_no_id(name, encode):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     texts = many()
-    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
     small = tokens.Encoder(vocabulary(name), name.startswith("byte"), cache=50)
     assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts + [None])] == [*want, []]
