@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rowfield.llm.common import written
+from rowfield.llm.common import texts_of, written
 
 PACKET = 64  # bytes, and samples, of a packet
 RATE = 8000  # samples a second: a packet lasts 8 ms
@@ -284,9 +284,8 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = [t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()]
+            for part, whole in texts_of(batch, 1):
+                texts = [t or b"" for t in whole]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], names=[key, "n_bytes", "media"])
 
     made, _ = written(docs.select(key, text).mapInArrow(run, f"{key} long, n_bytes long, media binary"), "media")
@@ -298,7 +297,7 @@ def packets(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, data in (row for part, files in texts_of(batch, 1) for row in zip(part.column(0).to_pylist(), files, strict=True)):
                 m = parse(data)
                 n = len(m.start)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), *[pa.array(c, t) for c, t in ((m.track, pa.int64()), (np.arange(n), pa.int64()), (m.time_ms, pa.float64()), (m.key, pa.bool_()), (m.start, pa.int64()), (m.size, pa.int64()))]], names=[key, "track", "packet", "time_ms", "keyframe", "start", "size"])
@@ -321,9 +320,9 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, files in (part for batch in batches for part in texts_of(batch, 2)):
             out = []
-            for name, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), files, strict=True):
                 m = parse(data)
                 payload = payload_of(data, m)
                 out.append((name, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PACKET:]), len(data), hashlib.sha256(data).hexdigest(), feature(m, payload)))
