@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowfield.functions import scalars as S
+from rowfield.operators.numbering import padded
 
 EXACT_STOPS = 8
 SIMPLIFY_M, SHORT_STEP_M = 1.5, 3.0
@@ -213,7 +214,7 @@ def grid_routes(cells: DataFrame, stops: DataFrame, size: float) -> DataFrame:
         ids = right["id"].tolist()
         return pd.DataFrame({"scope": [key[0]], "stops": [[str(ids[reach[i]]) for i in tour[1:-1]]], "length_m": [round(length, 6)], "unreachable": [n - len(reach)]})
 
-    none = pd.DataFrame({"scope": [], "stops": [], "length_m": [], "unreachable": []})
+    none = pd.DataFrame({"scope": [], "stops": [], "length_m": [], "unreachable": []}, dtype=object)  # a scope without stops
     # the sides may come from one table, so the second gets columns of its own
     again = cells.select(F.col("scope").alias("scope"), F.col("r").alias("r"), F.col("c").alias("c"))
     return stops.groupBy("scope").cogroup(again.groupBy("scope")).applyInPandas(lambda key, s, c: run(key, c, s) if len(s) else none, "scope string, stops array<string>, length_m double, unreachable long")
@@ -285,7 +286,7 @@ def serpentine(lanes: DataFrame) -> DataFrame:
     """Lanes (block, offset, lane, x0, x1) in walking order, every second one turned round."""
     n = F.row_number().over(Window.partitionBy("block").orderBy("offset", "lane"))
     odd = n % 2 == 0
-    return lanes.withColumn("n", n).select("block", "n", F.concat(F.lit("L"), F.lpad(F.col("n").cast("string"), 2, "0")).alias("lane_id"), "lane", F.when(odd, F.col("x1")).otherwise(F.col("x0")).alias("from_x"), F.when(odd, F.col("x0")).otherwise(F.col("x1")).alias("to_x"))
+    return lanes.withColumn("n", n).select("block", "n", F.concat(F.lit("L"), padded(F.col("n"), 2)).alias("lane_id"), "lane", F.when(odd, F.col("x1")).otherwise(F.col("x0")).alias("from_x"), F.when(odd, F.col("x0")).otherwise(F.col("x1")).alias("to_x"))
 
 
 def cheapest_variants(costs: DataFrame) -> DataFrame:
@@ -301,12 +302,16 @@ def cheapest_variants(costs: DataFrame) -> DataFrame:
     return costs.groupBy("walk").agg(F.aggregate(order, first, fold, F.array_min).alias("cost"))
 
 
-def path_sums(tree: DataFrame, folder: str, rounds: int = 25) -> DataFrame:
+def path_sums(tree: DataFrame, folder: str) -> DataFrame:
     """node, total: the sum of weights from each node to its tree's root, by pointer doubling (root's parent is itself).
-    It ends when all pointers stand at roots; each round is a table in `folder`, the shared checkpoint folder."""
+    It ends when all pointers stand at roots, after about log2 of the longest path; a cycle that isn't a root is an error.
+    Each round is a table in `folder`, the shared checkpoint folder."""
     spark = tree.sparkSession
     now = tree.select("node", F.col("parent").alias("p"), F.when(F.col("node") == F.col("parent"), 0.0).otherwise(F.col("w")).alias("total"))
-    for step in range(rounds):
+    step, nodes = 0, tree.count()
+    while True:
+        if 1 << step > 2 * max(nodes, 1):
+            raise ValueError("a path never ends at a root")
         up = now.select(F.col("node").alias("p"), F.col("p").alias("pp"), F.col("total").alias("t2"))
         moved = now.join(up, "p").select("node", F.col("pp").alias("p"), (F.col("total") + F.col("t2")).alias("total"), (F.col("p") != F.col("pp")).alias("moving"))
         moved.write.mode("overwrite").parquet(f"{folder}/{step}")
@@ -314,4 +319,5 @@ def path_sums(tree: DataFrame, folder: str, rounds: int = 25) -> DataFrame:
         now = moved.drop("moving")
         if not moved.where("moving").limit(1).count():
             break
+        step += 1
     return now.select("node", F.round("total", 6).alias("total"))

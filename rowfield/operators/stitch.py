@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowfield.functions.scalars import angle_between
 from rowfield.operators import spatial
+from rowfield.operators.numbering import numbered, padded
 
 # Distances and angles of the stitching rules.
 BUFFER_M, ANGLE_DEG, OFFSET_SHARE, BAND_M = 1.5, 6.0, 0.4, 25.0
@@ -15,17 +16,19 @@ BUFFER_M, ANGLE_DEG, OFFSET_SHARE, BAND_M = 1.5, 6.0, 0.4, 25.0
 def stitch_edges(pieces: DataFrame) -> DataFrame:
     """a, b (a < b): block pieces (id, tile, angle, box) of different tiles whose boxes, each grown by the buffer, meet
     and whose axes differ by at most the angle or are unknown."""
-    cell = 4 * BUFFER_M + float(pieces.agg(F.max(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0] or 1.0) / 2
+    # cells of the usual extent; the few wider pieces lie in more of them
+    usual = pieces.agg(F.percentile_approx(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")), 0.9)).first()[0]
+    cell = 4 * BUFFER_M + float(usual or 1.0) / 2
     pairs = spatial.overlapping(pieces, pieces, cell, 2 * BUFFER_M)
     alike = F.col("l.angle").isNull() | F.col("r.angle").isNull() | (angle_between(F.col("l.angle"), F.col("r.angle"), 180.0) <= ANGLE_DEG)
     return pairs.where((F.col("l.id") < F.col("r.id")) & (F.col("l.tile") != F.col("r.tile")) & alike).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
-def numbered_blocks(blocks: DataFrame) -> DataFrame:
-    """block ids V01, V02, ... from north to south in bands, west to east within a band. Bands are range-partitioned by
-    the sort; the numbering itself runs over one row a block."""
-    order = Window.orderBy(-F.rint(F.col("y") / BAND_M), "x", "id")
-    return blocks.withColumn("vineyard_id", F.concat(F.lit("V"), F.lpad(F.row_number().over(order).cast("string"), 2, "0")))
+def numbered_blocks(blocks: DataFrame, folder: str) -> DataFrame:
+    """block ids V01, V02, ... from north to south in bands, west to east within a band; ids beyond V99 are longer."""
+    placed = blocks.withColumn("_band", -F.rint(F.col("y") / BAND_M))
+    ranged = numbered(placed, [F.asc("_band"), F.asc("x"), F.asc("id")], folder)
+    return ranged.withColumn("vineyard_id", F.concat(F.lit("V"), padded(F.col("n"), 2))).drop("_band", "n")
 
 
 def numbered_rows(pieces: DataFrame, spacing: str = "spacing") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowfield.functions import scalars as S
+from rowfield.operators.numbering import numbered, padded
 
 AUDIT_ROWS, TOP_TARGETS, LISTED = 2, 40, 10
 
@@ -42,18 +43,10 @@ def running_ids(gaps: DataFrame, waste: DataFrame, scope: DataFrame) -> DataFram
     return a.unionByName(b)
 
 
-def sequence_ids(targets: DataFrame, letter: str) -> DataFrame:
-    """I0001, I0002, ... from north to south, west to east. The numbering runs on partitions of a range sort: each one's
-    size is counted first, so no task sees all rows."""
-    order = [F.desc("y"), F.asc("x"), F.asc("id")]
-    ranged = targets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # a row a partition
-    base, at = {}, 0
-    for p in sorted(sizes):
-        base[p], at = at, at + sizes[p]
-    first = F.coalesce(F.get(F.array(*[F.lit(base.get(i, 0)) for i in range(max(base, default=0) + 1)]), F.col("_p")), F.lit(0))
-    n = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + first
-    return ranged.withColumn("sequence_id", F.concat(F.lit(letter), F.lpad(n.cast("string"), 4, "0"))).drop("_p")
+def sequence_ids(targets: DataFrame, letter: str, folder: str) -> DataFrame:
+    """I0001, I0002, ... from north to south, west to east; ids beyond 9999 are longer. `folder` is in the shared folder."""
+    ranged = numbered(targets, [F.desc("y"), F.asc("x"), F.asc("id")], folder)
+    return ranged.withColumn("sequence_id", F.concat(F.lit(letter), padded(F.col("n"), 4))).drop("n")
 
 
 def top(targets: DataFrame, most: int = TOP_TARGETS) -> DataFrame:

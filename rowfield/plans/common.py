@@ -1,4 +1,4 @@
-"""The scratch folder of iterative queries: the one that the cluster names, or a temporary one where it names none."""
+"""The scratch folder of iterative queries: the one that the cluster names; where it names none, a temporary one in local mode."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.sql import SparkSession
 def scratch(spark: SparkSession, kind: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rowfield-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

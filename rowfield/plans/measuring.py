@@ -118,19 +118,6 @@ def off_ground_share(spark, sf_dir):
 
 
 def detection_scores(spark, sf_dir):
-    """Canopies against each other at equal corners, as the twin has it: box widths leave its truth side empty. Whole sets are in `box_scores`."""
-    c = driver.canopies(spark, sf_dir).where("x1 > x0").select("block", "x0", "y0", "x1", "y1").distinct().withColumn("n", F.expr("CAST(x0 / 50 * 100000 + y0 / 250 * 1000 + (x1 - x0) AS BIGINT)"))
-    t = c.where("n % 5 <> 0").select(F.concat_ws("_", "block", "x0", "y0", "x1", "y1").alias("truth"), "block", "x0", "y0", F.col("x1"), F.col("y1"))
-    f = c.where("n % 7 <> 0").select(F.concat_ws("_", "block", "x0", "y0", "x1", "y1").alias("found"), "block", F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"))
-    a = (F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    b = (F.col("u0"), F.col("v0"), F.col("u1"), F.col("v1"))
-    both = box_intersection_area(a, b)
-    pairs = t.join(f, (t["block"] == f["block"]) & (t["x0"] == f["u0"]) & (t["y0"] == f["v0"]))
-    union = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) + (F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0")) - both
-    return M.match_scores(pairs.select("truth", "found", F.round(both / union, 9).alias("iou")), t.count(), f.count())
-
-
-def box_scores(spark, sf_dir):
     """All canopies against copies that are shifted by 20 and 10 cm: every pair of boxes that meet, best mutual pairs."""
     boxes = driver.canopies(spark, sf_dir).where("x1 > x0").select("block", "x0", "y0", "x1", "y1").distinct()
     name = F.concat_ws("_", "block", "x0", "y0", "x1", "y1")
@@ -207,14 +194,13 @@ SELECT scope, round(2 * single, 4) AS separate_m, round(2.5e0 * far, 4) AS tour_
 FROM (SELECT CAST(floor(x / 50) AS BIGINT) AS scope, sum(sqrt(x * x + y * y)) AS single, max(sqrt(x * x + y * y)) AS far FROM spots WHERE kind = 'inspection' GROUP BY 1)"""),
     "off_ground_share": (off_ground_share, "SELECT vineyard_id, round(sum(CASE WHEN row_structure = 'unassessable' OR piece % 9 = 0 THEN length_m ELSE 0e0 END) / sum(length_m), 6) AS share FROM row_pieces GROUP BY 1"),
     "detection_scores": (detection_scores, """
-WITH c AS (SELECT DISTINCT block, x0, y0, x1, y1, CAST(x0 // 50 * 100000 + y0 // 250 * 1000 + (x1 - x0) AS BIGINT) AS n FROM canopies WHERE x1 > x0),
-t AS (SELECT concat_ws('_', block, x0, y0, x1, y1) AS truth, * FROM c WHERE n % 5 <> 0), f AS (SELECT concat_ws('_', block, x0, y0, x1, y1) AS found, * FROM c WHERE n % 7 <> 0),
-p AS (SELECT truth, found, CAST((least(t.x1, f.x1) - t.x0) * (least(t.y1, f.y1) - t.y0) AS DOUBLE) AS both_, CAST((t.x1 - t.x0) * (t.y1 - t.y0) + (f.x1 - f.x0) * (f.y1 - f.y0) AS DOUBLE) AS sums FROM t JOIN f ON t.block = f.block AND t.x0 = f.x0 AND t.y0 = f.y0),
-q AS (SELECT truth, found, round(both_ / (sums - both_), 9) AS iou FROM p WHERE round(both_ / (sums - both_), 9) >= 0.5),
+WITH t AS (SELECT DISTINCT block, x0, y0, x1, y1, concat_ws('_', block, x0, y0, x1, y1) AS name FROM canopies WHERE x1 > x0),
+m AS (SELECT t.name AS truth, f.name AS found, (least(t.x1, f.x1 + 20) - greatest(t.x0, f.x0 + 20)) * (least(t.y1, f.y1 + 10) - greatest(t.y0, f.y0 + 10)) AS both_, (t.x1 - t.x0) * (t.y1 - t.y0) + (f.x1 - f.x0) * (f.y1 - f.y0) AS sums
+ FROM t JOIN t f ON t.block = f.block AND t.x0 < f.x1 + 20 AND f.x0 + 20 < t.x1 AND t.y0 < f.y1 + 10 AND f.y0 + 10 < t.y1),
+q AS (SELECT truth, found, round(CAST(both_ AS DOUBLE) / (sums - both_), 9) AS iou FROM m WHERE round(CAST(both_ AS DOUBLE) / (sums - both_), 9) >= 0.5),
 r AS (SELECT iou, row_number() OVER (PARTITION BY truth ORDER BY iou DESC, found) AS bt, row_number() OVER (PARTITION BY found ORDER BY iou DESC, truth) AS bf FROM q),
 h AS (SELECT count(*) AS hits, avg(iou) AS mean_iou FROM r WHERE bt = 1 AND bf = 1)
-SELECT hits, round(mean_iou, 6) AS mean_iou, round(2e0 * hits / ((SELECT count(*) FROM t) + (SELECT count(*) FROM f)), 6) AS f1 FROM h"""),
-    "box_scores": (box_scores, None),
+SELECT hits, round(mean_iou, 6) AS mean_iou, round(2e0 * hits / (2 * (SELECT count(*) FROM t)), 6) AS f1 FROM h"""),
     "vine_spacing": (vine_spacing, """
 SELECT vineyard_id, round(CASE WHEN count(*) FILTER (q > 0.2 AND p BETWEEN 0.85 AND 1.95) >= 3 THEN median(p) FILTER (q > 0.2 AND p BETWEEN 0.85 AND 1.95) ELSE 1.2e0 END, 6) AS spacing
 FROM (SELECT vineyard_id, (piece % 160) / 100e0 + 0.6e0 AS p, (piece % 83) / 100e0 AS q FROM row_pieces) GROUP BY 1"""),

@@ -36,7 +36,7 @@ def running_ids(spark, sf_dir):
 
 
 def sequence_ids(spark, sf_dir):
-    return T.sequence_ids(driver.spots(spark, sf_dir).where("kind = 'inspection'"), "I").select("id", "sequence_id")
+    return T.sequence_ids(driver.spots(spark, sf_dir).where("kind = 'inspection'"), "I", scratch(spark, "sequence")).select("id", "sequence_id")
 
 
 def inspector_checklist(spark, sf_dir):
@@ -49,51 +49,25 @@ def co_located_targets(spark, sf_dir):
     return T.co_located(s.select(F.floor(F.col("x") / 25).cast("long").alias("block"), F.col("id").alias("ord"), "id", "x", "y"))
 
 
-def _walk_cells(spark, sf_dir, scope="x0 < 60"):
-    """Walkable cells: strips and a path, without forbidden ground and canopies; of those of `scope`."""
+def walk_cells(spark, sf_dir):
+    """Walkable cells: strips and a path, without forbidden ground and canopies."""
     strips = driver.interrows(spark, sf_dir).select(F.col("block").alias("scope"), *[(F.col(c) / 100.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    boxes = driver.canopies(spark, sf_dir).select(F.col("block").alias("scope"), *[(F.col(c) / 100.0).alias(c) for c in ("x0", "y0", "x1", "y1")]).where(scope)
-    near = strips.where(scope)
+    boxes = driver.canopies(spark, sf_dir).select(F.col("block").alias("scope"), *[(F.col(c) / 100.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
     path = strips.select("scope").distinct().select("scope", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(2.0).alias("x1"), F.lit(100.0).alias("y1"))
     forbidden = strips.select("scope").distinct().select("scope", F.lit(20.0).alias("x0"), F.lit(10.0).alias("y0"), F.lit(30.0).alias("x1"), F.lit(20.0).alias("y1"))
     cells = lambda b: R.raster_boxes(b, 1.0)
-    return R.walkable([cells(near), cells(path)], [cells(boxes), cells(forbidden)])
-
-
-def walk_cells(spark, sf_dir):
-    """The cells of the first 60 m, as the twin has them; `site_cells` has the whole site's."""
-    return _walk_cells(spark, sf_dir)
-
-
-def site_cells(spark, sf_dir):
-    return _walk_cells(spark, sf_dir, "true")
-
-
-def _edge_sums(cells):
-    e = R.edges(cells, 1.0)
-    return e.groupBy("scope").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("metres"), 4).alias("metres"), F.count_if((F.col("r") != F.col("r2")) & (F.col("c") != F.col("c2"))).alias("diagonals"))
+    return R.walkable([cells(strips), cells(path)], [cells(boxes), cells(forbidden)])
 
 
 def walk_edges(spark, sf_dir):
-    return _edge_sums(walk_cells(spark, sf_dir))
-
-
-def site_edges(spark, sf_dir):
-    return _edge_sums(site_cells(spark, sf_dir))
-
-
-def _snapped(spots, cells):
-    s = spots.select((F.col("id") % 25).cast("int").alias("scope"), "id", "x", (F.col("y") / 4).alias("y"))
-    return R.snap(s, cells, 1.0).select("id", "r", "c", "moved")
+    e = R.edges(walk_cells(spark, sf_dir), 1.0)
+    return e.groupBy("scope").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("metres"), 4).alias("metres"), F.count_if((F.col("r") != F.col("r2")) & (F.col("c") != F.col("c2"))).alias("diagonals"))
 
 
 def snapped_targets(spark, sf_dir):
-    return _snapped(driver.spots(spark, sf_dir).where("kind = 'inspection' AND x < 60"), walk_cells(spark, sf_dir))
-
-
-def site_targets(spark, sf_dir):
-    """Every inspection target on the whole site's cells; null cells where none is within 15 m."""
-    return _snapped(driver.spots(spark, sf_dir).where("kind = 'inspection'"), site_cells(spark, sf_dir))
+    """Every inspection target on the site's cells; null cells where none is within 15 m."""
+    s = driver.spots(spark, sf_dir).where("kind = 'inspection'").select((F.col("id") % 25).cast("int").alias("scope"), "id", "x", (F.col("y") / 4).alias("y"))
+    return R.snap(s, walk_cells(spark, sf_dir), 1.0).select("id", "r", "c", "moved")
 
 
 def _stops(spark, sf_dir):
@@ -115,13 +89,14 @@ def site_tour(spark, sf_dir):
 
 
 def grid_routes(spark, sf_dir):
-    """Closed walks over each block's cells through up to six snapped stops: the cells that lie in order at a distance."""
-    cells = walk_cells(spark, sf_dir).select(F.col("scope").cast("string").alias("scope"), "r", "c").where("r < 60 AND c < 60")
+    """Closed walks over each block's cells through its six widest gaps that lie on them: a top-k a walk, by weight and id."""
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("scope").orderBy(F.xxhash64("r", "c")))
-    stops = cells.withColumn("ord", n).where("ord <= 6").select("scope", "ord", F.concat_ws("_", "r", "c").alias("id"), "r", "c")
-    return R.grid_routes(cells, stops, 1.0).select("scope", F.size("stops").alias("stops"), "length_m", "unreachable")
+    cells = walk_cells(spark, sf_dir).select(F.col("scope").cast("string").alias("scope"), "r", "c")
+    gaps = driver.spots(spark, sf_dir).where("kind = 'inspection'").select("id", (F.col("id") % 25).cast("string").alias("scope"), "gap_m")
+    n = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("gap_m"), "id"))
+    stops = snapped_targets(spark, sf_dir).where("r IS NOT NULL").join(gaps, "id").withColumn("ord", n).where("ord <= 6")
+    return R.grid_routes(cells, stops.select("scope", "ord", "id", "r", "c"), 1.0).select("scope", F.size("stops").alias("stops"), "length_m", "unreachable")
 
 
 def demo_tour(spark, sf_dir):
@@ -174,10 +149,15 @@ def path_sums(spark, sf_dir):
 
 
 def _block_pieces(spark, sf_dir):
-    """A piece for each block and tile, with its box and axis."""
+    """A piece for each block and tile: a box that nearly fills the tile, and an axis by block that turns with the region,
+    a few of them unknown. Neighbours of one block and region meet and lie alike; some of other blocks do, too."""
     p = driver.row_pieces(spark, sf_dir)
-    g = p.groupBy("vineyard_id", "tile").agg(F.min("piece").alias("id"), F.min(F.col("tile_col") * 51.2 + F.col("x0") % 40).alias("xmin"), F.min(F.col("tile_row") * 51.2 + F.col("y0") % 40).alias("ymin"))
-    return g.select("id", "tile", "vineyard_id", F.round("xmin", 4).alias("xmin"), F.round("ymin", 4).alias("ymin"), F.round(F.col("xmin") + 9, 4).alias("xmax"), F.round(F.col("ymin") + 9, 4).alias("ymax"), F.when(F.col("id") % 10 == 0, None).otherwise((F.col("id") * 7 % 180).cast("double")).alias("angle"))
+    g = p.groupBy("vineyard_id", "tile", "tile_row", "tile_col").agg(F.min("piece").alias("id"))
+    k = F.substring("vineyard_id", 2, 9).cast("int")
+    region = F.floor(F.col("tile_row") / 3) * 35 + F.floor(F.col("tile_col") / 4) * 55
+    angle = ((k * 7 + region + F.col("id") % 3) % 180).cast("double")
+    xmin, ymin = F.round(F.col("tile_col") * 51.2 + F.col("id") % 3, 4), F.round(F.col("tile_row") * 51.2 + F.col("id") % 2, 4)
+    return g.select("id", "tile", "vineyard_id", xmin.alias("xmin"), ymin.alias("ymin"), F.round(xmin + 48, 4).alias("xmax"), F.round(ymin + 48, 4).alias("ymax"), F.when(F.col("id") % 211 != 0, angle).alias("angle"))
 
 
 def stitch_edges(spark, sf_dir):
@@ -205,13 +185,14 @@ def global_ids(spark, sf_dir):
 
 
 _STOPS = "st AS (SELECT CAST(CAST(substr(vineyard_id, 2, 2) AS INTEGER) % 5 AS VARCHAR) AS scope, CAST(substr(vineyard_id, 2, 2) AS INTEGER) AS k, vineyard_id AS id, x, y FROM blocks)"
-_PIECES = """bp AS (SELECT vineyard_id, tile, min(piece) AS id, round(min(tile_col * 51.2e0 + fmod(x0, 40)), 4) AS xmin, round(min(tile_row * 51.2e0 + fmod(y0, 40)), 4) AS ymin FROM row_pieces GROUP BY 1, 2),
-bx AS (SELECT *, round(xmin + 9, 4) AS xmax, round(ymin + 9, 4) AS ymax, CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id * 7 % 180 AS DOUBLE) END AS angle FROM bp),
+_PIECES = """bp AS (SELECT vineyard_id, tile, tile_row, tile_col, min(piece) AS id FROM row_pieces GROUP BY 1, 2, 3, 4),
+bx AS (SELECT id, tile, vineyard_id, round(tile_col * 51.2e0 + id % 3, 4) AS xmin, round(tile_row * 51.2e0 + id % 2, 4) AS ymin, round(round(tile_col * 51.2e0 + id % 3, 4) + 48, 4) AS xmax, round(round(tile_row * 51.2e0 + id % 2, 4) + 48, 4) AS ymax,
+ CASE WHEN id % 211 <> 0 THEN CAST((CAST(substr(vineyard_id, 2) AS BIGINT) * 7 + tile_row // 3 * 35 + tile_col // 4 * 55 + id % 3) % 180 AS DOUBLE) END AS angle FROM bp),
 ed AS (SELECT l.id AS a, r.id AS b FROM bx l JOIN bx r ON l.id < r.id AND l.tile <> r.tile AND l.xmin - 3 <= r.xmax AND r.xmin <= l.xmax + 3 AND l.ymin - 3 <= r.ymax AND r.ymin <= l.ymax + 3
  AND (l.angle IS NULL OR r.angle IS NULL OR least(fmod(l.angle - r.angle + 180, 180), 180 - fmod(l.angle - r.angle + 180, 180)) <= 6))"""
-_CELLS = """lay AS (SELECT 'g' AS k, block AS scope, x0 / 100e0 AS x0, y0 / 100e0 AS y0, x1 / 100e0 AS x1, y1 / 100e0 AS y1 FROM interrows WHERE x0 < 6000
+_CELLS = """lay AS (SELECT 'g' AS k, block AS scope, x0 / 100e0 AS x0, y0 / 100e0 AS y0, x1 / 100e0 AS x1, y1 / 100e0 AS y1 FROM interrows
  UNION ALL SELECT DISTINCT 'g', block, 0e0, 0e0, 2e0, 100e0 FROM interrows UNION ALL SELECT DISTINCT 'b', block, 20e0, 10e0, 30e0, 20e0 FROM interrows
- UNION ALL SELECT DISTINCT 'b', block, x0 / 100e0, y0 / 100e0, x1 / 100e0, y1 / 100e0 FROM canopies WHERE x0 < 6000),
+ UNION ALL SELECT DISTINCT 'b', block, x0 / 100e0, y0 / 100e0, x1 / 100e0, y1 / 100e0 FROM canopies),
 cel AS (SELECT DISTINCT k, scope, r, c FROM (SELECT k, scope, r, unnest(range(CAST(ceil(x0 - 0.5e0) AS BIGINT), CAST(ceil(x1 - 0.5e0) AS BIGINT))) AS c FROM (SELECT *, unnest(range(CAST(ceil(y0 - 0.5e0) AS BIGINT), CAST(ceil(y1 - 0.5e0) AS BIGINT))) AS r FROM lay))),
 wlk AS (SELECT scope, r, c FROM cel WHERE k = 'g' EXCEPT SELECT scope, r, c FROM cel WHERE k = 'b')"""
 QUERIES = {
@@ -224,20 +205,17 @@ SELECT vineyard_id, row_id, CASE WHEN c <= 2 THEN 'low confidence' ELSE 'median
 WITH sc AS (SELECT DISTINCT tile FROM row_pieces WHERE tile_row < 9), w AS (SELECT tile, piece, row_number() OVER (PARTITION BY tile ORDER BY piece) AS j FROM row_pieces WHERE piece % 11 = 0)
 SELECT concat('gap-', row_id, '-', CAST(row_number() OVER (PARTITION BY row_id ORDER BY tile, piece) AS VARCHAR)) AS id, piece FROM row_pieces WHERE row_structure = 'disrupted' AND tile IN (SELECT tile FROM sc)
 UNION ALL SELECT concat('waste-', tile, '-', CAST(j AS VARCHAR)), piece FROM w WHERE tile IN (SELECT tile FROM sc)"""),
-    "sequence_ids": (sequence_ids, "SELECT id, concat('I', lpad(CAST(row_number() OVER (ORDER BY y DESC, x, id) AS VARCHAR), 4, '0')) AS sequence_id FROM spots WHERE kind = 'inspection'"),
+    "sequence_ids": (sequence_ids, "SELECT id, concat('I', lpad(n, CAST(greatest(4, length(n)) AS INTEGER), '0')) AS sequence_id FROM (SELECT id, CAST(row_number() OVER (ORDER BY y DESC, x, id) AS VARCHAR) AS n FROM spots WHERE kind = 'inspection')"),
     "inspector_checklist": (inspector_checklist, """
 WITH s AS (SELECT id % 50 AS tour, id, kind, floor(gap_m * 10) / 10 AS g, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM spots WINDOW w AS (PARTITION BY id % 50 ORDER BY id))
 SELECT tour, id AS "order", id, kind, round(CASE WHEN kind = 'waste' THEN 3e0 ELSE 1 + least(coalesce(g, 0e0), 30e0) / 10 END, 2) AS priority, CASE WHEN kind = 'waste' THEN 'remove waste' ELSE concat(CAST(CAST(floor(round(g * 10)) AS BIGINT) // 10 AS VARCHAR), '.', CAST(CAST(floor(round(g * 10)) AS BIGINT) % 10 AS VARCHAR), ' m gap in row') END AS what_to_check,
 round(sum(step) OVER (PARTITION BY tour ORDER BY id), 1) AS cumulative_m FROM s"""),
     "co_located_targets": (co_located_targets, None),
     "walk_cells": (walk_cells, "WITH " + _CELLS + " SELECT * FROM wlk"),
-    "site_cells": (site_cells, None),
-    "site_edges": (site_edges, None),
-    "site_targets": (site_targets, None),
     "walk_edges": (walk_edges, "WITH " + _CELLS + """, e AS (SELECT a.scope, a.r <> b.r AND a.c <> b.c AS diagonal, a.r, a.c, b.r AS r2, b.c AS c2 FROM wlk a JOIN wlk b ON a.scope = b.scope AND ((b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1))),
 k AS (SELECT * FROM e WHERE NOT diagonal OR (EXISTS (SELECT 1 FROM wlk w WHERE w.scope = e.scope AND w.r = e.r AND w.c = e.c2) AND EXISTS (SELECT 1 FROM wlk w WHERE w.scope = e.scope AND w.r = e.r2 AND w.c = e.c)))
 SELECT scope, count(*) AS edges, round(sum(CASE WHEN diagonal THEN sqrt(2e0) ELSE 1e0 END), 4) AS metres, count(*) FILTER (diagonal) AS diagonals FROM k GROUP BY 1"""),
-    "snapped_targets": (snapped_targets, "WITH " + _CELLS + """, p AS (SELECT CAST(id % 25 AS INTEGER) AS scope, id, x, y / 4 AS y FROM spots WHERE kind = 'inspection' AND x < 60),
+    "snapped_targets": (snapped_targets, "WITH " + _CELLS + """, p AS (SELECT CAST(id % 25 AS INTEGER) AS scope, id, x, y / 4 AS y FROM spots WHERE kind = 'inspection'),
 b AS (SELECT id, min({'d': sqrt(pow(x - c - 0.5e0, 2) + pow(y - r - 0.5e0, 2)), 'r': r, 'c': c}) AS best FROM p JOIN wlk ON p.scope = wlk.scope AND sqrt(pow(x - c - 0.5e0, 2) + pow(y - r - 0.5e0, 2)) <= 15 GROUP BY 1)
 SELECT p.id, best.r AS r, best.c AS c, round(best.d, 6) AS moved FROM p LEFT JOIN b ON p.id = b.id"""),
     "distance_matrix": (distance_matrix, "WITH " + _STOPS + " SELECT s.scope, s.id AS a, t.id AS b, round(sqrt(pow(s.x - t.x, 2) + pow(s.y - t.y, 2)), 6) AS metres FROM st s JOIN st t ON s.scope = t.scope AND s.id <> t.id"),
@@ -261,8 +239,12 @@ round(sum(m) OVER (PARTITION BY walk ORDER BY ord), 3) AS walked_m FROM t"""),
     "merged_steps": (merged_steps, None),
     "instructions": (instructions, None),
     "lane_cover": (lane_cover, None),
-    "serpentine_lanes": (serpentine, "SELECT block, CAST(n AS INTEGER) AS n, concat('L', lpad(CAST(n AS VARCHAR), 2, '0')) AS lane_id, id AS lane, CASE WHEN n % 2 = 0 THEN x1 ELSE x0 END AS from_x, CASE WHEN n % 2 = 0 THEN x0 ELSE x1 END AS to_x FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY y0, id) AS n FROM interrows)"),
-    "sweep_costs": (sweep_costs, None),
+    "serpentine_lanes": (serpentine, "SELECT block, CAST(n AS INTEGER) AS n, concat('L', lpad(CAST(n AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0')) AS lane_id, id AS lane, CASE WHEN n % 2 = 0 THEN x1 ELSE x0 END AS from_x, CASE WHEN n % 2 = 0 THEN x0 ELSE x1 END AS to_x FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY y0, id) AS n FROM interrows)"),
+    "sweep_costs": (sweep_costs, """
+WITH RECURSIVE b AS (SELECT o_custkey % 40 AS walk, CAST(floor(o_totalprice) AS BIGINT) AS p, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS n FROM orders),
+t AS (SELECT walk, CAST(0 AS BIGINT) AS n, 0e0 AS u, 0e0 AS v FROM b WHERE n = 1
+ UNION ALL SELECT t.walk, b.n, least(t.u + p % 7, t.v + p % 13), least(t.u + p % 11, t.v + p % 5) FROM t JOIN b ON b.walk = t.walk AND b.n = t.n + 1)
+SELECT walk, min(least(u, v)) AS cost FROM t WHERE (walk, n) IN (SELECT walk, max(n) FROM b GROUP BY 1) GROUP BY 1"""),
     "path_sums": (path_sums, "WITH RECURSIVE p AS (SELECT p_partkey AS node, p_size AS w, (SELECT min(p_partkey) FROM part) AS least FROM part), t AS (SELECT node, node AS up, 0e0 AS total, least FROM p UNION ALL SELECT t.node, greatest(t.up // 2, t.least), t.total + w, t.least FROM t JOIN p ON p.node = t.up WHERE t.up > t.least) SELECT node, round(max(total), 6) AS total FROM t WHERE up = least GROUP BY 1"),
     "stitch_edges": (stitch_edges, "WITH " + _PIECES + " SELECT a, b FROM ed"),
     "stitched_blocks": (stitched_blocks, "WITH RECURSIVE " + _PIECES + ", bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), re AS (SELECT id AS n, id AS root FROM bx UNION SELECT bo.b, re.root FROM re JOIN bo ON bo.a = re.n WHERE re.root < bo.b), mi AS (SELECT n, min(root) AS root FROM re GROUP BY 1) SELECT root, count(*) AS pieces FROM mi GROUP BY 1"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rowfield.operators.numbering import padded
+from rowfield.plans.common import scratch
 from rowfield.operators import signals as Z
 from rowfield.sources import driver
 
@@ -100,14 +102,14 @@ def block_numbers(spark, sf_dir):
     from rowfield.operators.stitch import numbered_blocks
 
     b = driver.blocks(spark, sf_dir)
-    return numbered_blocks(b.select(F.col("vineyard_id").alias("id"), "x", "y")).select("id", "vineyard_id")
+    return numbered_blocks(b.select(F.col("vineyard_id").alias("id"), "x", "y"), scratch(spark, "blocks")).select("id", "vineyard_id")
 
 
 def row_numbers(spark, sf_dir):
     """Rows of a block by rising offset; ids with leading zeros."""
     r = driver.row_pieces(spark, sf_dir).groupBy("vineyard_id", "row_id").agg(F.min("y0").alias("offset"))
     n = F.row_number().over(Window.partitionBy("vineyard_id").orderBy("offset", "row_id"))
-    return r.select("row_id", F.concat("vineyard_id", F.lit("-R"), F.lpad(n.cast("string"), 3, "0")).alias("number"))
+    return r.select("row_id", F.concat("vineyard_id", F.lit("-R"), padded(n, 3)).alias("number"))
 
 
 def occupancy(spark, sf_dir):
@@ -160,7 +162,7 @@ SELECT walk, id, round(step, 4) AS step, round(sum(step) OVER (PARTITION BY walk
     "offset_sessions": (sessions, """
 WITH o AS (SELECT piece, vineyard_id, y0 + (piece % 7) * 0.2e0 AS o FROM row_pieces), n AS (SELECT *, CASE WHEN coalesce(o - lag(o) OVER w > 0.4e0 * 2.5e0, true) THEN 1 ELSE 0 END AS new_ FROM o WINDOW w AS (PARTITION BY vineyard_id ORDER BY o, piece)),
 r AS (SELECT *, CAST(sum(new_) OVER (PARTITION BY vineyard_id ORDER BY o, piece) AS BIGINT) AS row_no FROM n) SELECT vineyard_id, row_no, count(*) AS pieces, round(min(o), 4) AS low, round(max(o), 4) AS high FROM r GROUP BY 1, 2"""),
-    "block_numbers": (block_numbers, "SELECT vineyard_id AS id, concat('V', lpad(CAST(row_number() OVER (ORDER BY -round_even(y / 25, 0), x, vineyard_id) AS VARCHAR), 2, '0')) AS vineyard_id FROM blocks"),
-    "row_numbers": (row_numbers, "SELECT row_id, concat(vineyard_id, '-R', lpad(CAST(row_number() OVER (PARTITION BY vineyard_id ORDER BY o, row_id) AS VARCHAR), 3, '0')) AS number FROM (SELECT vineyard_id, row_id, min(y0) AS o FROM row_pieces GROUP BY 1, 2)"),
+    "block_numbers": (block_numbers, "SELECT vineyard_id AS id, concat('V', lpad(n, CAST(greatest(2, length(n)) AS INTEGER), '0')) AS vineyard_id FROM (SELECT vineyard_id, CAST(row_number() OVER (ORDER BY -round_even(y / 25, 0), x, vineyard_id) AS VARCHAR) AS n FROM blocks)"),
+    "row_numbers": (row_numbers, "SELECT row_id, concat(vineyard_id, '-R', lpad(n, CAST(greatest(3, length(n)) AS INTEGER), '0')) AS number FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vineyard_id ORDER BY o, row_id) AS VARCHAR) AS n FROM (SELECT vineyard_id, row_id, min(y0) AS o FROM row_pieces GROUP BY 1, 2))"),
     "band_occupancy": (occupancy, "SELECT id % 9 AS band, pos, round(avg(CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END), 6) AS occupied, round(avg(v), 6) AS mean FROM signals GROUP BY 1, 2"),
 }

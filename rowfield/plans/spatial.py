@@ -170,13 +170,6 @@ def tile_block_listing(spark, sf_dir):
 
 
 def tile_positions(spark, sf_dir):
-    """The first three rows a tile with their place, as the twin has them; `tile_places` has every row."""
-    w = Window.partitionBy("tile").orderBy("vineyard_id", "row_id", "piece")
-    p = driver.row_pieces(spark, sf_dir).where("length_m >= 2.0").withColumn("place", F.row_number().over(w))
-    return p.where("place <= 3").select("tile", "place", "piece")
-
-
-def tile_places(spark, sf_dir):
     """Every row a tile with its place, size filters and sorts applied."""
     w = Window.partitionBy("tile").orderBy("vineyard_id", "row_id", "piece")
     return driver.row_pieces(spark, sf_dir).where("length_m >= 2.0").select("tile", F.row_number().over(w).alias("place"), "piece")
@@ -217,6 +210,5 @@ r AS (SELECT *, max(p) OVER (PARTITION BY tile) AS top FROM a) SELECT tile, sour
     "skipped_targets": (skipped_targets, "SELECT id, kind FROM spots WHERE id % 3 = 0"),
     "skipped_message": (skipped_message, "WITH s AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM spots WHERE id % 50 = 0) SELECT count(*) AS n, concat(string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) FILTER (n <= 10), CASE WHEN count(*) > 10 THEN ', ...' ELSE '' END) AS ids FROM s"),
     "tile_block_listing": (tile_block_listing, "SELECT tile, coalesce(string_agg(DISTINCT vineyard_id, ',' ORDER BY vineyard_id) FILTER (piece % 3 = 0), '') AS vineyard_ids FROM row_pieces GROUP BY 1"),
-    "tile_positions": (tile_positions, "SELECT tile, CAST(place AS INTEGER) AS place, piece FROM (SELECT tile, piece, row_number() OVER (PARTITION BY tile ORDER BY vineyard_id, row_id, piece) AS place FROM row_pieces WHERE length_m >= 2.0) WHERE place <= 3"),
-    "tile_places": (tile_places, "SELECT tile, CAST(row_number() OVER (PARTITION BY tile ORDER BY vineyard_id, row_id, piece) AS INTEGER) AS place, piece FROM row_pieces WHERE length_m >= 2.0"),
+    "tile_positions": (tile_positions, "SELECT tile, CAST(row_number() OVER (PARTITION BY tile ORDER BY vineyard_id, row_id, piece) AS INTEGER) AS place, piece FROM row_pieces WHERE length_m >= 2.0"),
 }

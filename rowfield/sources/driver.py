@@ -9,15 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowfield.operators.numbering import padded
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def padded(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
-
-
 def block_name(nation: Column) -> Column:
     return F.concat(F.lit("V"), padded(nation + 1, 2))
 

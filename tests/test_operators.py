@@ -164,3 +164,28 @@ def test_tile_catalog_reads_names_only(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * 5)
     got = {r["tile"]: (r["bytes"], r["tile_row"], r["tile_col"], r["xmin"]) for r in files.tile_catalog(spark, f"file://{tmp_path}").collect()}
     assert got == {"r001_c002": (5, 1, 2, 102.4), "r010_c000": (5, 10, 0, 0.0)}
+
+
+def test_numbers_are_unique_and_in_order(spark, tmp_path):
+    from rowfield.operators import stitch as H
+    from rowfield.operators import targets as T
+
+    n = 400_000
+    df = spark.range(n).select("id", (F.col("id") * 7919 % 1000).cast("double").alias("x"), (F.col("id") * 104_729 % 977).cast("double").alias("y"))
+    out = T.sequence_ids(df.repartition(7), "I", f"file://{tmp_path}/sequence").toPandas().sort_values(["y", "x", "id"], ascending=[False, True, True])
+    assert out["sequence_id"].tolist() == [f"I{i:04d}" for i in range(1, n + 1)]
+    blocks = spark.range(150).select("id", (F.col("id") % 5).cast("double").alias("x"), (F.col("id") * 10).cast("double").alias("y"))
+    got = {r["id"]: r["vineyard_id"] for r in H.numbered_blocks(blocks, f"file://{tmp_path}/blocks").collect()}
+    assert sorted(got.values()) == sorted(f"V{i:02d}" for i in range(1, 151))
+    lanes = spark.range(120).select(F.lit(1).alias("block"), F.col("id").alias("offset"), F.col("id").alias("lane"), F.lit(0).alias("x0"), F.lit(9).alias("x1"))
+    assert {r["lane_id"] for r in R.serpentine(lanes).collect()} == {f"L{i:02d}" for i in range(1, 121)}
+    assert T.sequence_ids(df.limit(0), "I", f"file://{tmp_path}/none").count() == 0
+
+
+def test_long_paths_end(spark, tmp_path):
+    import pytest
+
+    tree = spark.range(1000).select(F.col("id").alias("node"), F.greatest(F.col("id") - 1, F.lit(0)).alias("parent"), F.lit(1.0).alias("w"))
+    assert {r["node"]: r["total"] for r in R.path_sums(tree, f"file://{tmp_path}/paths").collect()} == {i: i for i in range(1000)}
+    with pytest.raises(ValueError):
+        R.path_sums(spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0)], "node long, parent long, w double"), f"file://{tmp_path}/cycle")

@@ -13,7 +13,7 @@ def test_every_row_of_a_tile_has_its_place(spark):
             by_tile.setdefault(r["tile"], []).append((r["vineyard_id"], r["row_id"], r["piece"]))
     want = sorted((t, n, x[2]) for t, rows in by_tile.items() for n, x in enumerate(sorted(rows), 1))
     assert max(n for _, n, _ in want) > 3
-    assert sorted(tuple(r) for r in spatial.QUERIES["tile_places"][0](spark, SF).collect()) == want
+    assert sorted(tuple(r) for r in spatial.QUERIES["tile_positions"][0](spark, SF).collect()) == want
 
 
 def test_all_boxes_are_scored(spark):
@@ -32,7 +32,7 @@ def test_all_boxes_are_scored(spark):
                     best_t[tn] = min(best_t.get(tn, (0, "")), (-iou, fn))
                     best_f[fn] = min(best_f.get(fn, (0, "")), (-iou, tn))
     hits = [-i for t, (i, f) in best_t.items() if best_f[f][1] == t]
-    got = measuring.QUERIES["box_scores"][0](spark, SF).first()
+    got = measuring.QUERIES["detection_scores"][0](spark, SF).first()
     assert got["hits"] == len(hits) > 0
     assert abs(got["mean_iou"] - sum(hits) / len(hits)) < 1e-5 and got["f1"] == round(len(hits) / len(boxes), 6)
 
@@ -52,17 +52,25 @@ def test_walks_reach_the_whole_site(spark):
         ground.update((s, r, c) for r in range(100) for c in range(2))
         blocked.update((s, r, c) for r in range(10, 20) for c in range(20, 30))
     free = ground - blocked
-    assert {tuple(r) for r in routes.site_cells(spark, SF).collect()} == free and max(c for _, _, c in free) > 120
+    assert {tuple(r) for r in routes.walk_cells(spark, SF).collect()} == free and max(c for _, _, c in free) > 120
     steps = lambda s, r, c: [(a, b) for a, b in ((0, 1), (1, 0), (1, 1), (1, -1)) if (s, r + a, c + b) in free and (not a or not b or {(s, r + a, c), (s, r, c + b)} <= free)]
     want = {}
     for s, r, c in free:
         for a, b in steps(s, r, c):
             want.setdefault(s, []).append(sqrt(a * a + b * b))
-    assert {r["scope"]: (r["edges"], r["metres"], r["diagonals"]) for r in routes.site_edges(spark, SF).collect()} == {s: (len(m), round(sum(m), 4), sum(x > 1 for x in m)) for s, m in want.items()}
-    got = {r["id"]: r for r in routes.site_targets(spark, SF).collect()}
+    assert {r["scope"]: (r["edges"], r["metres"], r["diagonals"]) for r in routes.walk_edges(spark, SF).collect()} == {s: (len(m), round(sum(m), 4), sum(x > 1 for x in m)) for s, m in want.items()}
+    got = {r["id"]: r for r in routes.snapped_targets(spark, SF).collect()}
     targets = driver.spots(spark, SF).where("kind = 'inspection'").collect()
     assert got.keys() == {t["id"] for t in targets} and max(t["x"] for t in targets) > 60
     for t in targets:
         d = [hypot(t["x"] - c - 0.5, t["y"] / 4 - r - 0.5) for s, r, c in free if s == t["id"] % 25]
         moved = got[t["id"]]["moved"]
         assert moved is None if min(d) > 15 else abs(moved - min(d)) < 1e-5
+
+
+def test_pieces_are_stitched_across_tiles(spark):
+    from rowfield.plans import routes
+
+    edges = routes.stitch_edges(spark, SF).count()
+    sizes = [r["pieces"] for r in routes.stitched_blocks(spark, SF).collect()]
+    assert edges > 100 and sum(n > 1 for n in sizes) > 20 and max(sizes) > 5 and len(sizes) > 50
