@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is its predecessor's output read again from Parquet, and returns a
 DataFrame. All but the last return the columns of `documents`; the last returns the packed pieces.
+
+Defined cases. Null and word-less texts fail the quality rules. Rows without an id are no near-duplicates of others, come
+last among repeated passages, and are mixed and packed like any other. Of repeated rows one stays. Texts of any length
+are whole in every stage. Ties go to the smaller id, then to the smaller hash of the text. Empty tables give empty
+results. Columns besides those that a stage reads pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,25 +26,30 @@ LEAST_BYTES = 1
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Scratch folders of the last stage that was called. Its output has been written when the next one gets it.
+#: Scratch folders of the stage that was called last in this run. Its output has been written when the next one gets it.
 _LAST: list[str] = []
 
 
 def _stage(run: Stage) -> Stage:
-    """A stage first removes the scratch folders of the stage before it."""
+    """A stage removes the scratch folders of the stage before it. The first one removes none: what was called last then
+    belongs to another run, whose output may not have been read."""
 
     @wraps(run)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _LAST:
-            remove(spark, path)
-        before = len(scratch_made())
+        if run.__name__ != FIRST:
+            for path in _LAST:
+                remove(spark, path)
+        before = set(scratch_made())
         out = run(spark, docs, sf_dir)
-        _LAST[:] = scratch_made(before)
+        _LAST[:] = [path for path in scratch_made() if path not in before]
         return out
 
     return staged
 
 
+FIRST = "quality_rules"
+
+
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
