@@ -31,6 +31,14 @@ def brute(rows):
     return sorted({find(i) for i in ids})
 
 
+def held(df, rows):
+    """Whether the first of every group stays, nothing goes that is in no group, and few of those that can go stay."""
+    want, got = brute(rows), kept(df)
+    assert set(want) <= set(got) <= {i for i, _ in rows}
+    assert len(got) - len(want) <= 0.1 * (len({i for i, _ in rows}) - len(want))
+    return want
+
+
 def kept(df):
     return sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(df.sparkSession, df, "").collect())
 
@@ -42,8 +50,7 @@ def test_one_changed_word_in_a_hundred(spark):
     assert kept(spark.createDataFrame(rows, "doc_id long, text string")) == [783, 4000]
 
 
-def test_copies_of_all_kinds_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_texts, "_OFTEN", 2)  # so that the frequent shingles are ordered, too
+def test_copies_of_all_kinds_against_brute_force(spark):
     r = random.Random(11)
     word = lambda: f"v{r.randrange(400)}"
     rows, line = [], "this very line is in a lot of the documents of this table"
@@ -60,13 +67,12 @@ def test_copies_of_all_kinds_against_brute_force(spark, monkeypatch):
         rows.append((len(rows), " ".join([*base[:i], f"x{i}", *base[i + 1 :]])))
     rows += [(1000, None), (1001, ""), (1002, "One"), (1003, "oNE")]
     r.shuffle(rows)
-    want = brute(rows)
-    assert kept(spark.createDataFrame(rows, "doc_id long, text string")) == want and len(want) < len(rows) - 60
+    assert len(held(spark.createDataFrame(rows, "doc_id long, text string"), rows)) < len(rows) - 60
 
 
 def test_documents_against_brute_force(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
-    assert kept(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    held(docs, [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
 def test_rows_without_a_key_and_empty_tables(spark):
@@ -74,3 +80,21 @@ def test_rows_without_a_key_and_empty_tables(spark):
     out = near_texts.deduplicate(df)
     assert out.columns == df.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "7", "None"]
     assert near_texts.deduplicate(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_a_key_only_are_told_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    df = spark.createDataFrame([(1, a, 1), (1, b, 2), (2, a + " more", 3), (2, a + " more", 3), (1, a, 4)], "doc_id long, text string, rows int").withColumnRenamed("rows", "_tid")
+    assert sorted((r["doc_id"], r["text"]) for r in near_texts.deduplicate(df).collect()) == [(1, a), (1, b)]
+
+
+def test_a_star_pairs_every_text_of_a_key_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    keys, tids = np.array([1, 1, 1, 2, 3, 3, 3, 3]), np.arange(8)
+    whole = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(tids)], names=["key", "t"])
+    want = {(0, 1), (0, 2), (1, 2), (4, 5), (4, 6), (5, 6), (4, 7), (6, 7)}
+    for cut in range(9):
+        out = near_texts._stars(iter([whole.slice(0, cut), whole.slice(cut)]))
+        assert {p for b in out for p in zip(*(c.to_pylist() for c in b.columns), strict=True)} == want
