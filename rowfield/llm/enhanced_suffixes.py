@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -57,16 +58,41 @@ def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((height, first))
 
 
-def maximal_repeats(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+def nodes(lcp: np.ndarray, least: int) -> np.ndarray:
+    """`intervals` as rows. Runs of neighbours with one common prefix are one node each and need no stack."""
+    joined = np.concatenate([[False], lcp >= least, [False]])
+    firsts = np.flatnonzero(joined[1:] & ~joined[:-1])  # of the runs of neighbours that share enough
+    lasts = np.flatnonzero(joined[:-1] & ~joined[1:])
+    if not len(firsts):
+        return np.zeros((0, 3), np.int64)
+    ends = np.stack([firsts, lasts], axis=1).ravel()
+    padded = np.append(lcp, 0)
+    low, high = np.minimum.reduceat(padded, ends)[::2], np.maximum.reduceat(padded, ends)[::2]
+    flat = low == high
+    parts = [np.stack([low[flat], firsts[flat], lasts[flat]], axis=1)]
+    step = np.zeros(len(padded) + 1, np.int64)
+    step[firsts[~flat]] += 1
+    step[lasts[~flat] + 1] -= 1
+    place = np.flatnonzero(np.cumsum(step)[:-1])  # of the other runs, one after the other
+    if len(place):
+        heights = padded[place]
+        found = np.fromiter(chain.from_iterable(intervals(np.where(heights >= least, heights, 0)[:-1], least)), np.int64).reshape(-1, 3)
+        parts.append(np.stack([found[:, 0], place[found[:, 1]], place[found[:, 2]]], axis=1))
+    return np.concatenate(parts)
+
+
+def maximal_repeats(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffixes that share `least` bytes or more with another, in order: their texts and starts; and the maximal
-    repeats as (length, first, last) over that order, all occurrences between first and last.
+    repeats as rows (length, first, last) over that order, all occurrences between first and last.
 
-    A repeat is maximal to the right as a node of the interval tree, and to the left if its occurrences have different
-    bytes before them (the start of a text differs from all). Texts are UTF-8, so no byte is 255.
+    Suffixes are ordered by the class of their first `least` bytes and, within it, by the bytes that follow; no repeat
+    spans two classes. A repeat is maximal to the right as a node of the interval tree, and to the left if its
+    occurrences have different bytes before them (the start of a text differs from all). Texts are UTF-8, so no byte
+    is 255.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     widest = int(lengths.max(initial=0))
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
     if widest < least:
         return none
     # a row for each text, bytes raised by one, zeros beyond its end
@@ -74,29 +100,36 @@ def maximal_repeats(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndar
     rows[np.arange(widest) < lengths[:, None]] = np.frombuffer(b"".join(texts), np.uint8) + 1
     hashes = np.stack([rolling(row, least) for row in rows]) if widest > 4 * least else _by_row(rows, least)
     of, start = np.nonzero(np.arange(widest - least + 1) + least <= lengths[:, None])
-    values, inverse, counts = np.unique(hashes[of, start], return_inverse=True, return_counts=True)
-    twice = counts[inverse] > 1
-    of, start = of[twice], start[twice]
+    values, classes, counts = np.unique(hashes[of, start], return_inverse=True, return_counts=True)
+    twice = counts[classes] > 1
+    of, start, classes = of[twice], start[twice], classes[twice]
     if not len(of):
         return none
-    flat = np.concatenate([rows, np.zeros((len(texts), widest), np.uint8)], axis=1)
-    suffixes = np.empty((len(of), widest), np.uint8)
-    for at in range(0, len(of), 65536):
-        some = slice(at, at + 65536)
-        suffixes[some] = flat[of[some, None], start[some, None] + np.arange(widest)]
-    order = np.argsort(suffixes.view(f"S{widest}").ravel(), kind="stable")
-    of, start = of[order], start[order]
-    lcp = np.empty(len(of) - 1, np.int64)
-    for at in range(0, len(lcp), 65536):
-        some = order[at : at + 65537]
-        block = suffixes[some]
-        differ = block[1:] != block[:-1]
-        lcp[at : at + 65536] = np.where(differ.any(axis=1), differ.argmax(axis=1), widest)
+    flat = np.concatenate([rows, np.zeros((len(texts), widest), np.uint8)], axis=1).ravel()
+    at = of * (2 * widest) + start
+    ahead = np.lib.stride_tricks.sliding_window_view(flat, least)
+    rest = widest - least
+    key = np.empty((len(of), 8 + rest), np.uint8)
+    key[:, :8] = (classes + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
+    if rest:
+        key[:, 8:] = np.lib.stride_tricks.sliding_window_view(flat, rest)[at + least]
+    order = np.argsort(key.view(f"S{8 + rest}").ravel(), kind="stable")
+    key = key[order, 8:]
+    of, start, classes, at = of[order], start[order], classes[order], at[order]
+    lcp = np.zeros(len(of) - 1, np.int64)
+    for lo in range(0, len(lcp), 65536):
+        hi = min(lo + 65536, len(lcp))
+        differ = key[lo + 1 : hi + 1] != key[lo:hi]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), rest) if rest else 0
+        first = ahead[at[lo : hi + 1]]
+        equal = (classes[lo + 1 : hi + 1] == classes[lo:hi]) & (first[1:] == first[:-1]).all(axis=1)
+        lcp[lo:hi] = np.where(equal, least + common, 0)
     lcp = np.minimum(lcp, np.minimum((lengths[of] - start)[1:], (lengths[of] - start)[:-1]))
     before = np.where(start > 0, rows[of, start - 1], 0)
     # equal bytes before neighbours, counted up to each place: an interval is uniform if all of its pairs are
     same = np.concatenate([[0], np.cumsum((before[1:] == before[:-1]) & (before[1:] > 0))])
-    return of, start, [(length, a, b) for length, a, b in intervals(lcp, least) if same[b] - same[a] < b - a]
+    found = nodes(lcp, least)
+    return of, start, found[same[found[:, 2]] - same[found[:, 1]] < found[:, 2] - found[:, 1]]
 
 
 def _by_row(rows: np.ndarray, size: int) -> np.ndarray:

@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowfield.llm.common import written
+from rowfield.llm.common import PART, slices, texts_of, written
 from rowfield.llm.enhanced_suffixes import maximal_repeats, rolling
 
 LENGTH = 100
@@ -143,8 +144,8 @@ _FOUND = [("kind", pa.int8()), ("a", _L), ("doc", _L), ("sub", _L), ("lo", _L),
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1. In: doc, sub, text. Out: ROWS."""
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
+    for batch, whole in (part for batch in batches for part in texts_of(batch, 2, 4 * PART)):  # the larger, the fewer rows go on
+        texts = [t or b"" for t in whole]
         docs, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         n, pos, grams = anchors(texts)
         if not len(n):
@@ -208,9 +209,9 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In: doc, sub, text, list of (a, lo, hi). Out: a, doc, sub, start, context bytes, bytes before the anchor."""
-    for batch in batches:
+    for batch, texts in (part for batch in batches for part in texts_of(batch, 2)):
         out: list[tuple] = []
-        for doc, sub, text, places in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for doc, sub, text, places in zip(*(batch.column(i).to_pylist() for i in (0, 1)), texts, batch.column(3).to_pylist(), strict=True):
             out += [(p["a"], doc, sub, p["lo"] - (p["hi"] >> 8), text[p["lo"] - (p["hi"] >> 8) : p["lo"] + (p["hi"] & 255)], p["hi"] >> 8) for p in places]
             if len(out) >= 20_000:
                 yield _context_batch(out)
@@ -232,18 +233,19 @@ _RESOLVED = [("kind", pa.int8()), ("doc", _L), ("sub", _L), ("lo", _L), ("hi", _
 def _repeats(docs: np.ndarray, subs: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> pa.RecordBatch | None:
     """Marks from the maximal repeats of a block of contexts: all occurrences but the first."""
     of, at, groups = maximal_repeats(texts, LENGTH)
-    if not groups:
+    if not len(groups):
         return None
     _, rank = np.unique(np.stack([docs, subs], axis=1), axis=0, return_inverse=True)
     place = starts[of] + at
     key = (rank.ravel()[of].astype(np.int64) << 40) | place
-    parts = []
-    for length, a, b in groups:
-        keys = key[a : b + 1]
-        parts.append((a + np.flatnonzero(keys > keys.min()), length))
-    index = np.concatenate([p for p, _ in parts])
+    length, first, last = groups.T
+    many = last - first + 1
+    begin = np.cumsum(many) - many
+    index = np.repeat(first - begin, many) + np.arange(many.sum())  # all occurrences of all groups
+    keys = key[index]
+    later = keys > np.repeat(np.minimum.reduceat(keys, begin), many)
     longest = np.zeros(len(of), np.int64)
-    np.maximum.at(longest, index, np.repeat([n for _, n in parts], [len(p) for p, _ in parts]))
+    np.maximum.at(longest, index[later], np.repeat(length, many)[later])
     index = np.flatnonzero(longest)
     if not len(index):
         return None
@@ -375,9 +377,9 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", **sizes: i
     joined = rows.join(spans.hint("shuffle_hash"), ["doc", "sub"], "left").select("doc", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in (part for batch in batches for part in texts_of(batch, 1)):
             out = []
-            for doc, data, found in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, data, found in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
                 data = data or b""
                 lo, hi = disjoint(found)
                 out.append((None if doc == LAST else doc, len(data), sum(hi) - sum(lo), len(lo), remaining(data, lo, hi), lo, hi))
@@ -397,7 +399,7 @@ def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     joined = rows.join(spans.hint("shuffle_hash"), ["doc", "sub"], "left").select("row", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (batch.slice(a, b - a) for batch in batches for a, b in slices(pc.fill_null(pc.binary_length(pc.struct_field(batch.column(0), text)), 0).to_pylist())):
             table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(batch.column(0))])
             texts, kept = table[text].to_pylist(), [True] * batch.num_rows
             lengths = table[length].to_pylist() if length in names else []
