@@ -15,9 +15,10 @@ windows of an anchor lie in its context: LENGTH - GRAM bytes before it and LENGT
    are done. The first ones of different contexts of one anchor can still share some windows: these are ambiguous.
 3. Ambiguous contexts get their bytes, meet again by anchor, and an enhanced suffix array over a block of them yields,
    from its common-prefix interval tree, the maximal repeats with all occurrences; all but the first are marked.
-   An anchor with more than MOST contexts isn't kept in one task. Its contexts are cut into PARTS ranges of windows;
-   the bytes that all windows of a range share extend the anchor, so most ranges stand alone now, and equal ranges are
-   resolved by pre-aggregated minima and joins that split skewed keys. What is left is resolved window by window.
+   An anchor with more than MOST contexts isn't dealt to one task; contexts are counted by anchor first, and those of
+   such anchors are spread. They are cut into PARTS ranges of windows; the bytes that all windows of a range share
+   extend the anchor, so most ranges stand alone now, and equal ranges are resolved by pre-aggregated minima and joins
+   that split skewed keys. What is left is resolved window by window.
 4. Marks are merged by document and joined to the texts.
 
 Defined cases: null texts are empty; texts shorter than LENGTH lose nothing; rows with a null id come after all
@@ -46,6 +47,7 @@ BEFORE = LENGTH - GRAM
 PIECE = 1 << 20  # bytes that are hashed at a time
 BLOCK = 2048  # contexts of a suffix array, as far as whole anchors allow
 MOST = 1024  # contexts of one anchor in a suffix array; an anchor with more is resolved by ranges of windows
+MAX_BROADCAST = 1_000_000  # hot anchors
 PARTS = 8
 #: (least, greatest) bytes that the windows of a range have before the anchor.
 RANGES = [(BEFORE * i // PARTS + (i > 0), BEFORE * (i + 1) // PARTS) for i in range(PARTS)]
@@ -208,11 +210,11 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In: doc, sub, text, list of (a, lo, hi). Out: a, doc, sub, start, context bytes, bytes before the anchor."""
+    """In: doc, sub, text, list of (a, lo, hi, hot). Out: a, doc, sub, start, context bytes, bytes before the anchor, hot."""
     for batch, texts in (part for batch in batches for part in texts_of(batch, 2)):
         out: list[tuple] = []
         for doc, sub, text, places in zip(*(batch.column(i).to_pylist() for i in (0, 1)), texts, batch.column(3).to_pylist(), strict=True):
-            out += [(p["a"], doc, sub, p["lo"] - (p["hi"] >> 8), text[p["lo"] - (p["hi"] >> 8) : p["lo"] + (p["hi"] & 255)], p["hi"] >> 8) for p in places]
+            out += [(p["a"], doc, sub, p["lo"] - (p["hi"] >> 8), text[p["lo"] - (p["hi"] >> 8) : p["lo"] + (p["hi"] & 255)], p["hi"] >> 8, p["hot"]) for p in places]
             if len(out) >= 20_000:
                 yield _context_batch(out)
                 out = []
@@ -221,7 +223,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (_L, _L, _L, _L, pa.binary(), _L), strict=True)], names=["a", "doc", "sub", "start", "context", "left"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (_L, _L, _L, _L, pa.binary(), _L, pa.bool_()), strict=True)], names=["a", "doc", "sub", "start", "context", "left", "hot"])
 
 
 #: Rows of step 3. kind 0: a mark (lo, hi). kind 2: a range of windows of an anchor with too many contexts: its bytes
@@ -278,40 +280,33 @@ def _ranges(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield _batch(_RESOLVED, *zip(*out[at : at + 20_000], strict=True))
 
 
-def _resolver(most: int, block: int):
-    """Step 3 on contexts in the order of their anchors. Holds one block, or `most` contexts of one anchor."""
+def _resolver(block: int):
+    """Step 3 on contexts in the order of their anchors, those of hot anchors last. Holds one block and one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []  # the contexts of the current anchor
-        ready: list[tuple] = []  # whole anchors
-        over = False  # the current anchor has more than `most` contexts
+        ready: list[tuple] = []  # contexts of whole anchors, and of the current one
+        spread: list[tuple] = []
 
         def resolved() -> Iterator[pa.RecordBatch]:
             if ready:
-                _, docs, subs, starts, texts, _ = zip(*ready, strict=True)
+                _, docs, subs, starts, texts, _, _ = zip(*ready, strict=True)
                 ready.clear()
                 if (made := _repeats(np.array(docs), np.array(subs), np.array(starts), list(texts))) is not None:
                     yield made
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[-1][0] != row[0]:
-                    if over:
-                        yield from _ranges(group)
-                    else:
-                        ready += group
-                        if len(ready) >= block:
-                            yield from resolved()
-                    group, over = [], False
-                group.append(row)
-                if len(group) > (block if over else most):
-                    yield from _ranges(group[:-1])
-                    group, over = group[-1:], True
-        if over:
-            yield from _ranges(group)
-        else:
-            ready += group
+                if row[-1]:
+                    spread.append(row[:-1])
+                    if len(spread) >= block:
+                        yield from _ranges(spread)
+                        spread.clear()
+                    continue
+                if len(ready) >= block and ready[-1][0] != row[0]:
+                    yield from resolved()
+                ready.append(row)
         yield from resolved()
+        yield from _ranges(spread)
 
     return run
 
@@ -333,10 +328,14 @@ def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     rows, distinct = _identified(docs, key, text, *([] if keep is None else [keep]))
     sifted = distinct.mapInArrow(_scan, ROWS).repartition("a").sortWithinPartitions("kind", "a", "c", "doc", "sub", "span").mapInArrow(_sift, FOUND)
     found, _ = written(sifted, "found")
-    places = found.where("kind = 1").groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("places"))
+    hot, _ = written(found.where("kind = 1").groupBy("a").count().where(F.col("count") > most).select("a", F.lit(True).alias("hot")), "hot")
+    side = F.broadcast(hot) if hot.count() <= MAX_BROADCAST else hot  # 9 bytes an anchor; else a join that splits skewed keys
+    marked = found.where("kind = 1").join(side, "a", "left").select("a", "doc", "sub", "lo", "hi", F.coalesce("hot", F.lit(False)).alias("hot"))
+    places = marked.groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "lo", "hi", "hot")).alias("places"))
     placed = distinct.join(places.hint("shuffle_hash"), ["doc", "sub"]).select("doc", "sub", "text", "places")
-    contexts = placed.mapInArrow(_contexts, "a long, doc long, sub long, start long, context binary, left long")
-    resolved, _ = written(contexts.repartition("a").sortWithinPartitions("a", "doc", "sub", "start").mapInArrow(_resolver(most, block), RESOLVED), "resolved")
+    contexts = placed.mapInArrow(_contexts, "a long, doc long, sub long, start long, context binary, left long, hot boolean")
+    dealt = contexts.repartition(F.when(F.col("hot"), F.xxhash64("a", "doc", "sub", "start")).otherwise(F.col("a")))
+    resolved, _ = written(dealt.sortWithinPartitions("hot", "a", "doc", "sub", "start").mapInArrow(_resolver(block), RESOLVED), "resolved")
     later = _resolved_ranges(resolved.where("kind = 2"))
     spans = found.where("kind = 0").select("doc", "sub", "lo", "hi").unionByName(resolved.where("kind = 0").select("doc", "sub", "lo", "hi")).unionByName(later)
     return rows, spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
