@@ -22,23 +22,46 @@ def tile_row_lengths(pieces: DataFrame, duplicates: str = "sum") -> DataFrame:
 def box_unions(boxes: DataFrame, by: str) -> DataFrame:
     """`by`, area: the area that the boxes x0, y0, x1, y1 (whole units) of a group cover together, exactly.
 
-    Slabs between neighbouring x edges are built where boxes begin or end; a box meets only the slabs that it spans, by
-    an equi-join on the group's coarse cells, so a group never meets in one task as a whole.
+    Boxes are clipped to cells of about twice their usual extent, and cells are swept each by itself: slabs between
+    neighbouring x edges meet the boxes that span them. So neither a group nor a wide box meets in one task as a whole,
+    and the work grows with the boxes of a cell, not of a group. Boxes that are empty or lack a corner cover nothing.
     """
-    boxes = boxes.where("x1 > x0 AND y1 > y0").select(by, "x0", "y0", "x1", "y1").distinct()
-    edges = boxes.select(by, F.explode(F.array("x0", "x1")).alias("a")).distinct()
-    slabs = edges.withColumn("b", F.lead("a").over(Window.partitionBy(by).orderBy("a"))).where("b IS NOT NULL")
-    span = boxes.agg(F.max(F.col("x1") - F.col("x0"))).first()[0] or 1
-    cell = F.lit(max(int(span), 1))
-    spread = boxes.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor((F.col("x1") - 1) / cell))))
-    # a slab lies between neighbouring edges, so a box that meets it spans it, and has a place in its first cell
-    placed = slabs.withColumn("cell", F.floor(F.col("a") / cell))
-    met = placed.join(spread, [by, "cell"]).where("x0 <= a AND x1 >= b").select(by, "a", "b", "y0", "y1")
-    before = F.max("y1").over(Window.partitionBy(by, "a").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
+    boxes = boxes.where("x1 > x0 AND y1 > y0").select(by, "x0", "y0", "x1", "y1")
+    usual = boxes.agg(F.percentile_approx(F.col("x1") - F.col("x0"), 0.9).alias("w"), F.percentile_approx(F.col("y1") - F.col("y0"), 0.9).alias("h")).first()
+    cut = boxes
+    for axis, extent in (("x", usual["w"]), ("y", usual["h"])):
+        size, low, high = F.lit(2 * max(int(extent or 1), 1)), F.col(f"{axis}0"), F.col(f"{axis}1")
+        cut = cut.withColumn(f"c{axis}", F.explode(F.sequence(F.floor(low / size), F.floor((high - 1) / size))))
+        cut = cut.withColumns({f"{axis}0": F.greatest(low, F.col(f"c{axis}") * size), f"{axis}1": F.least(high, (F.col(f"c{axis}") + 1) * size)})
+    cell = [by, "cx", "cy"]
+    cut = cut.distinct().repartition(*cell)
+    edges = cut.select(*cell, F.explode(F.array("x0", "x1")).alias("a")).distinct()
+    slabs = edges.withColumn("b", F.lead("a").over(Window.partitionBy(*cell).orderBy("a"))).where("b IS NOT NULL")
+    met = slabs.join(cut, cell).where("x0 <= a AND x1 >= b").select(*cell, "a", "b", "y0", "y1")
+    before = F.max("y1").over(Window.partitionBy(*cell, "a").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.col("y1") - F.greatest(F.coalesce(before, F.col("y0")), F.col("y0")), F.lit(0))
     return met.withColumn("new", new).groupBy(by).agg(F.sum((F.col("b") - F.col("a")) * F.col("new")).alias("area"))
 
 
+def levels(pieces: DataFrame) -> DataFrame:
+    """The tidy table: row, block and total lines. Pieces are summed to rows once; blocks and the total are rolled up from
+    the rows."""
+    rows = pieces.groupBy("vineyard_id", "row_id").agg(F.sum("length_m").alias("m"), F.count(F.lit(1)).alias("n"))
+    # a row id may be in several blocks; in the total it counts once
+    ids = rows.groupBy("row_id").agg(F.count(F.lit(1)).alias("blocks")).where("row_id IS NOT NULL")
+    one = lambda c: F.lit(c).cast("long")
+    named = F.when(F.col("row_id").isNull(), 0).otherwise(1).cast("long")
+    line = rows.select(F.lit("row").alias("level"), "vineyard_id", "row_id", "m", "n", named.alias("row_count"), F.when(F.col("vineyard_id").isNull(), one(0)).otherwise(one(1)).alias("block_count"))
+    blocks = rows.groupBy("vineyard_id").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("row_id").alias("row_count"))
+    block = blocks.select(F.lit("block").alias("level"), "vineyard_id", F.lit(None).cast("string").alias("row_id"), "m", "n", "row_count", F.when(F.col("vineyard_id").isNull(), one(0)).otherwise(one(1)).alias("block_count"))
+    zero = one(0)
+    sums = blocks.select("m", "n", F.when(F.col("vineyard_id").isNull(), zero).otherwise(one(1)).alias("b"), zero.alias("r")).unionByName(ids.select(F.lit(None).cast("double").alias("m"), zero.alias("n"), zero.alias("b"), one(1).alias("r")))
+    total = sums.agg(F.sum("m").alias("m"), *[F.coalesce(F.sum(c), zero).alias(name) for c, name in (("n", "n"), ("r", "row_count"), ("b", "block_count"))])
+    total = total.select(F.lit("total").alias("level"), F.lit(None).cast("string").alias("vineyard_id"), F.lit(None).cast("string").alias("row_id"), "m", "n", "row_count", "block_count")
+    every = line.unionByName(block).unionByName(total)
+    return every.select("level", "vineyard_id", "row_id", F.round("m", 2).alias("row_length_m"), F.col("n").alias("pieces"), "row_count", "block_count")
+
+
 def levels(pieces: DataFrame) -> DataFrame:
     """The tidy table: row, block and total lines in one pass of grouping sets."""
     grouped = pieces.groupingSets([["vineyard_id", "row_id"], ["vineyard_id"], []], "vineyard_id", "row_id").agg(
