@@ -29,7 +29,7 @@ def _steps(line: Column) -> Column:
     return F.zip_with(F.slice(line, 1, n), F.slice(line, 2, n), lambda a, b: F.struct(a["x"].alias("x"), a["y"].alias("y"), b["x"].alias("u"), b["y"].alias("v")))
 
 
-def _named(value: Column, use) -> Column:
+def named(value: Column, use) -> Column:
     """use(value), with the value worked out once however often it occurs in it."""
     return F.transform(F.array(value), use)[0]
 
@@ -179,9 +179,9 @@ def clip_to_box(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Co
             none = F.array().cast(POINTS)
             return F.when(ins(s[axis]) & ins(s[far[axis]]), F.array(b)).when(ins(s[axis]), F.array(hit)).when(ins(s[far[axis]]), F.array(hit, b)).otherwise(none)
 
-        return F.flatten(F.transform(_named(_named(points, closed), _steps), edge))
+        return F.flatten(F.transform(named(named(points, closed), _steps), edge))
 
-    return reduce(lambda points, side: _named(points, lambda p: cut(p, side)), sides, ring)
+    return reduce(lambda points, side: named(points, lambda p: cut(p, side)), sides, ring)
 
 
 def translated(line: Column, dx: Column, dy: Column) -> Column:
@@ -205,3 +205,53 @@ def resampled(xs: Column, ys: Column, at: Column) -> Column:
     s = F.get(hit, F.lit(0))
     inner = s["y"] + F.when(s["u"] > s["x"], (at - s["x"]) / (s["u"] - s["x"])).otherwise(0.0) * (s["v"] - s["y"])
     return F.when(at <= xs[0], ys[0]).when(at >= F.element_at(xs, -1), F.element_at(ys, -1)).otherwise(inner)
+
+
+def inner_point(ring: Column) -> Column:
+    """A point inside a ring that may be concave: the middle of the widest span (the first of equal ones) on a scanline
+    between the corners next to half height. The first point of a ring without area."""
+
+    def scan(ys: Column) -> Column:
+        half = (F.array_min(ys) + F.array_max(ys)) / 2
+        return named(half, lambda h: (F.array_max(F.filter(ys, lambda y: y <= h)) + F.array_min(F.filter(ys, lambda y: y > h))) / 2)
+
+    def hits(ring: Column, at: Column) -> Column:
+        crossed = F.filter(_steps(ring), lambda s: (s["y"] > at) != (s["v"] > at))
+        return F.array_sort(F.transform(crossed, lambda s: s["x"] + (at - s["y"]) * (s["u"] - s["x"]) / (s["v"] - s["y"])))
+
+    def widest(xs: Column) -> Column:
+        """Spans lie between hits 0 and 1, 2 and 3, ..."""
+        spans = F.transform(xs, lambda x, k: F.when(k % 2 == 0, F.struct((F.get(xs, k + 1) - x).alias("w"), (-k).alias("k"), ((x + F.get(xs, k + 1)) / 2).alias("x"))))
+        return F.array_max(F.filter(spans, lambda s: s.isNotNull()))["x"]
+
+    def inside(ring: Column) -> Column:
+        at = scan(F.transform(ring, lambda p: p["y"]))
+        return named(at, lambda y: named(named(hits(ring, y), widest), lambda x: F.when(x.isNotNull(), point(x, y)).otherwise(ring[0])))
+
+    return named(named(ring, closed), inside)
+
+
+def box_link(a: Column, b: Column) -> Column:
+    """The shortest link (x, y) to (u, v) from box a to box b; in the middle of what they share along an axis."""
+
+    def ends(low: str, high: str) -> tuple[Column, Column]:
+        shared = (F.greatest(a[low], b[low]) + F.least(a[high], b[high])) / 2
+        here = F.when(b[low] > a[high], a[high]).when(a[low] > b[high], a[low]).otherwise(shared)
+        there = F.when(b[low] > a[high], b[low]).when(a[low] > b[high], b[high]).otherwise(shared)
+        return here, there
+
+    (x, u), (y, v) = ends("xmin", "xmax"), ends("ymin", "ymax")
+    return F.struct(x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+
+
+def segment_meets_box(x: Column, y: Column, u: Column, v: Column, box: Column) -> Column:
+    """Whether a segment has a point in a box, its sides included."""
+
+    def inside(at: Column, to: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        d = to - at
+        t, s = F.try_divide(low - at, d), F.try_divide(high - at, d)
+        still = (at >= low) & (at <= high)
+        return F.when(d == 0, F.when(still, 0.0).otherwise(2.0)).otherwise(F.least(t, s)), F.when(d == 0, F.when(still, 1.0).otherwise(-1.0)).otherwise(F.greatest(t, s))
+
+    (a, b), (c, d) = inside(x, u, box["xmin"], box["xmax"]), inside(y, v, box["ymin"], box["ymax"])
+    return F.greatest(F.lit(0.0), a, c) <= F.least(F.lit(1.0), b, d)

@@ -16,10 +16,7 @@ BUFFER_M, ANGLE_DEG, OFFSET_SHARE, BAND_M = 1.5, 6.0, 0.4, 25.0
 def stitch_edges(pieces: DataFrame) -> DataFrame:
     """a, b (a < b): block pieces (id, tile, angle, box) of different tiles whose boxes, each grown by the buffer, meet
     and whose axes differ by at most the angle or are unknown."""
-    # cells of the usual extent; the few wider pieces lie in more of them
-    usual = pieces.agg(F.percentile_approx(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")), 0.9)).first()[0]
-    cell = 4 * BUFFER_M + float(usual or 1.0) / 2
-    pairs = spatial.overlapping(pieces, pieces, cell, 2 * BUFFER_M)
+    pairs = spatial.overlapping(pieces, pieces, spatial.usual_cell(pieces, 2 * BUFFER_M), 2 * BUFFER_M)
     alike = F.col("l.angle").isNull() | F.col("r.angle").isNull() | (angle_between(F.col("l.angle"), F.col("r.angle"), 180.0) <= ANGLE_DEG)
     return pairs.where((F.col("l.id") < F.col("r.id")) & (F.col("l.tile") != F.col("r.tile")) & alike).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 

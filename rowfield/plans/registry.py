@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowfield.plans import exports, measuring, routes, scalars, signals, spatial, streams
+from rowfield.plans import exports, measuring, plantings, routes, scalars, signals, spatial, streams
 from rowfield.sources.driver import LAYERS_SQL
 
 FLAGSHIP = "measurements_levels"
@@ -17,6 +17,6 @@ def twin(select: str) -> str:
     return f"{head}{LAYERS_SQL.strip()}\n{body}"
 
 
-_EVERY = {k: v for module in (measuring, scalars, spatial, signals, routes, streams, exports) for k, v in module.QUERIES.items()}
+_EVERY = {k: v for module in (measuring, scalars, spatial, signals, routes, streams, exports, plantings) for k, v in module.QUERIES.items()}
 QUERIES = {k: run for k, (run, _) in _EVERY.items()}
 ORACLES = {k: twin(sql) for k, (_, sql) in _EVERY.items() if sql}
