@@ -255,3 +255,15 @@ def segment_meets_box(x: Column, y: Column, u: Column, v: Column, box: Column) -
 
     (a, b), (c, d) = inside(x, u, box["xmin"], box["xmax"]), inside(y, v, box["ymin"], box["ymax"])
     return F.greatest(F.lit(0.0), a, c) <= F.least(F.lit(1.0), b, d)
+
+
+def padded_bounds(box: Column, least: float) -> Column:
+    """A box grown about its middle to at least `least` each way."""
+    x, y = (box["xmin"] + box["xmax"]) / 2, (box["ymin"] + box["ymax"]) / 2
+    w, h = F.greatest((box["xmax"] - box["xmin"]) / 2, F.lit(least / 2)), F.greatest((box["ymax"] - box["ymin"]) / 2, F.lit(least / 2))
+    return F.struct((x - w).alias("xmin"), (y - h).alias("ymin"), (x + w).alias("xmax"), (y + h).alias("ymax"))
+
+
+def lat_lng(line: Column) -> Column:
+    """Points as (y, x) pairs, as maps take them."""
+    return F.transform(line, lambda p: F.array(p["y"], p["x"]))

@@ -131,3 +131,38 @@ def log_page(lines: DataFrame, since: Column) -> DataFrame:
     w = Window.partitionBy("job")
     numbered = lines.withColumns({"line": F.row_number().over(w.orderBy("at")) - 1, "n": F.count(F.lit(1)).over(w)})
     return numbered.where(F.col("line") >= since)
+
+
+#: Columns of a row of plants, and of those that stay: ys has an offset a metre from x0 on.
+ROWS = "block long, id long, x0 long, ys array<double>"
+
+
+def distinct_rows(rows: DataFrame, period: float) -> DataFrame:
+    """rows (ROWS) without second tracks on one physical row: by block, from the least median offset on, a row goes (the
+    shorter one) that shares over 30 % of its extent with one of the four kept last and lies within 0.45 of the period of
+    it. The order matters, so a block's rows are gone through by one task; blocks are bounded by the land they cover."""
+
+    def run(pdf):
+        import numpy as np
+
+        line = [(int(r.id), int(r.x0), np.asarray(r.ys, float)) for r in pdf.itertuples() if r.ys is not None and len(r.ys)]
+        kept: list[tuple] = []
+        for row in sorted(line, key=lambda r: (float(np.median(r[2])), r[0])):
+            at = next((i for i in range(max(0, len(kept) - 4), len(kept)) if _alike(kept[i], row, period)), None)
+            if at is None:
+                kept.append(row)
+            elif len(row[2]) > len(kept[at][2]):
+                kept[at] = row
+        return pdf[pdf["id"].isin([r[0] for r in kept])]
+
+    return rows.select("block", "id", "x0", "ys").groupBy("block").applyInPandas(run, ROWS)
+
+
+def _alike(a: tuple, b: tuple, period: float) -> bool:
+    import numpy as np
+
+    low, high = max(a[1], b[1]), min(a[1] + len(a[2]), b[1] + len(b[2])) - 1
+    if high - low <= 0.3 * min(len(a[2]), len(b[2])):
+        return False
+    apart = np.abs(a[2][low - a[1] : high - a[1]] - b[2][low - b[1] : high - b[1]])
+    return bool(np.median(apart) < 0.45 * period)

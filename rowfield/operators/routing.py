@@ -321,3 +321,13 @@ def path_sums(tree: DataFrame, folder: str) -> DataFrame:
             break
         step += 1
     return now.select("node", F.round("total", 6).alias("total"))
+
+
+def path_lengths(tree: DataFrame, folder: str) -> DataFrame:
+    """tree (node, parent, x, y, passable; a root is its own parent): node, length_m and off_m, the metres of its path to
+    the root and those of them that have an end off passable ground."""
+    up = tree.select(F.col("node").alias("parent"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("passable").alias("good"))
+    steps = tree.join(up, "parent").withColumn("w", F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("v")))
+    off = F.when(F.col("passable") & F.col("good"), 0.0).otherwise(F.col("w"))
+    whole = path_sums(steps.select("node", "parent", "w"), f"{folder}/length").withColumnRenamed("total", "length_m")
+    return whole.join(path_sums(steps.select("node", "parent", off.alias("w")), f"{folder}/off").withColumnRenamed("total", "off_m"), "node")

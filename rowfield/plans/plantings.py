@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from rowfield.functions import geometry as G
 from rowfield.operators import plantings as P
+from rowfield.operators import routing as R
 from rowfield.operators import spatial as X
 from rowfield.plans.common import scratch
-from rowfield.sources import driver
+from rowfield.sources import driver, files
 
 
 def _plantings(spark, sf_dir):
@@ -93,6 +94,41 @@ def log_page(spark, sf_dir):
     return P.log_page(e, F.col("job") % 7).select("job", "line", "n", F.col("at").alias("event_id"))
 
 
+def distinct_rows(spark, sf_dir):
+    """Rows of up to 64 m that wave about lines 0.4 m apart, in blocks of a hundred."""
+    v = driver.row_signals(spark, sf_dir).select(F.floor(F.col("id") / 100).alias("block"), "id", (F.col("id") % 7).alias("x0"), "signal")
+    n = (F.size("signal") - F.col("id") % 20).cast("int")
+    return P.distinct_rows(v.select("block", "id", "x0", F.transform(F.slice("signal", 1, n), lambda y: y + F.col("id") % 100 * 0.4).alias("ys")), 1.0).select("block", "id")
+
+
+def path_lengths(spark, sf_dir):
+    """A binary tree of stops on a plane, every fifth one off the ground that may be walked."""
+    t = driver.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("double").alias("y"))
+    least = t.agg(F.min("node")).first()[0] or 0
+    parent = F.when(F.col("node") <= least, F.col("node")).otherwise(F.greatest(F.floor(F.col("node") / 2).cast("long"), F.lit(least)))
+    tree = t.select("node", parent.alias("parent"), (F.col("node") % 100).cast("double").alias("x"), "y", (F.col("node") % 5 != 0).alias("passable"))
+    out = R.path_lengths(tree, scratch(spark, "lengths"))
+    return out.select("node", F.round("length_m", 3).alias("length_m"), F.round("off_m", 3).alias("off_m"))
+
+
+def padded_views(spark, sf_dir):
+    """The map's view of each strip, 30 m wide at least, as latitude and longitude."""
+    s = driver.interrows(spark, sf_dir)
+    box = F.struct(*[(F.col(c) / 100.0).alias(n) for c, n in (("x0", "xmin"), ("y0", "ymin"), ("x1", "xmax"), ("y1", "ymax"))])
+    b = s.select("id", G.padded_bounds(box, 30.0).alias("b"))
+    c = b.select("id", G.lat_lng(F.array(G.point(F.col("b.xmin"), F.col("b.ymin")), G.point(F.col("b.xmax"), F.col("b.ymax")))).alias("c"))
+    at = lambda i, j: F.round(F.col("c")[i][j], 6)
+    return c.select("id", at(0, 0).alias("south"), at(0, 1).alias("west"), at(1, 0).alias("north"), at(1, 1).alias("east"))
+
+
+def upload_checks(spark, sf_dir):
+    p = driver.row_pieces(spark, sf_dir).select(
+        F.floor(F.col("piece") / 40).alias("request"), "piece", (F.col("piece") * 7919 % 60 * 1048576).alias("bytes"), (F.col("piece") % 11 != 0).alias("readable"), (F.col("piece") % 13 != 0).alias("has_crs"),
+        F.when(F.col("piece") % 17 != 0, F.concat(F.lit("tile"), F.when(F.col("piece") % 5 == 0, ".png").when(F.col("piece") % 3 == 0, ".TIFF").otherwise(".tif"))).alias("filename"),
+    )
+    return files.upload_checks(p).select("piece", "filename", "ok", "error")
+
+
 _BOXES = """g AS (SELECT tile_row, tile_col, count(*) AS n FROM row_pieces GROUP BY 1, 2),
 bx AS (SELECT tile_row * 100 + tile_col AS id, tile_row // 2 * 100 + tile_col // 2 AS region, round(tile_col * 51.2e0, 4) AS xmin, round(tile_row * 51.2e0, 4) AS ymin, round(round(tile_col * 51.2e0, 4) + 44 + n % 9, 4) AS xmax, round(round(tile_row * 51.2e0, 4) + 44 + n % 7, 4) AS ymax FROM g),
 pa AS (SELECT * FROM (VALUES (202e0, 0e0, 204.6e0, 1100e0), (0e0, 201e0, 1100e0, 204.7e0), (610e0, 0e0, 612e0, 500e0)) AS t(xmin, ymin, xmax, ymax)),
@@ -127,4 +163,17 @@ SELECT q, row_id, row_structure, pieces FROM r JOIN t ON q = '' OR row_id = lowe
     "log_page": (log_page, """
 WITH l AS (SELECT user_id AS job, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS line, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT job, line, n, event_id FROM l WHERE line >= job % 7"""),
+    "distinct_rows": (distinct_rows, None),
+    "path_lengths": (path_lengths, """
+WITH RECURSIVE p AS (SELECT p_partkey AS node, p_partkey % 100 AS x, p_size AS y, p_partkey % 5 <> 0 AS good, CASE WHEN p_partkey <= (SELECT min(p_partkey) FROM part) THEN p_partkey ELSE greatest(p_partkey // 2, (SELECT min(p_partkey) FROM part)) END AS parent FROM part),
+s AS (SELECT p.node, p.parent, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS w, p.good AND q.good AS good FROM p JOIN p q ON p.parent = q.node),
+t AS (SELECT node, node AS up, 0e0 AS m, 0e0 AS off FROM s UNION ALL SELECT t.node, s.parent, m + w, off + CASE WHEN good THEN 0e0 ELSE w END FROM t JOIN s ON t.up = s.node WHERE s.parent <> s.node)
+SELECT t.node, round(round(m, 6), 3) AS length_m, round(round(off, 6), 3) AS off_m FROM t JOIN s ON t.up = s.node WHERE s.parent = s.node"""),
+    "padded_views": (padded_views, """
+WITH b AS (SELECT id, x0 / 100e0 AS x0, y0 / 100e0 AS y0, x1 / 100e0 AS x1, y1 / 100e0 AS y1 FROM interrows)
+SELECT id, round((y0 + y1) / 2 - greatest((y1 - y0) / 2, 15e0), 6) AS south, round((x0 + x1) / 2 - greatest((x1 - x0) / 2, 15e0), 6) AS west, round((y0 + y1) / 2 + greatest((y1 - y0) / 2, 15e0), 6) AS north, round((x0 + x1) / 2 + greatest((x1 - x0) / 2, 15e0), 6) AS east FROM b"""),
+    "upload_checks": (upload_checks, """
+WITH p AS (SELECT piece, count(*) OVER (PARTITION BY piece // 40) AS n, piece * 7919 % 60 AS mb, CASE WHEN piece % 17 = 0 THEN 'unnamed.tif' WHEN piece % 5 = 0 THEN 'tile.png' WHEN piece % 3 = 0 THEN 'tile.TIFF' ELSE 'tile.tif' END AS filename FROM row_pieces),
+e AS (SELECT piece, filename, CASE WHEN n > 10 THEN 'Max 10 files per upload' WHEN filename LIKE '%.png' THEN 'Not a .tif/.tiff file' WHEN mb > 50 THEN 'Exceeds 50MB limit' WHEN piece % 11 = 0 THEN 'Not a valid GeoTIFF' WHEN piece % 13 = 0 THEN 'No CRS/geotransform in this file' END AS error FROM p)
+SELECT piece, filename, error IS NULL AS ok, error FROM e"""),
 }

@@ -145,3 +145,34 @@ def parameters(spark: SparkSession, path: str) -> dict[str, dict[str, float]]:
     import json
 
     return json.loads(row["j"])
+
+
+def write_parameters(path: str, model: dict[str, dict[str, float]]) -> str:
+    """The parameter model as a JSON file that `parameters` reads."""
+    import json
+    from pathlib import Path
+
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(model, indent=2))
+    return path
+
+
+# What an upload may hold, and how its refusals are worded.
+MAX_UPLOAD_FILES, MAX_UPLOAD_MB = 10, 50
+
+
+def upload_checks(uploads: DataFrame) -> DataFrame:
+    """uploads (request, filename, bytes, readable, has_crs): each file with ok and error. All files of a request with too
+    many go; a null name is `unnamed.tif`."""
+    from pyspark.sql import Window
+
+    name = F.coalesce("filename", F.lit("unnamed.tif"))
+    many = F.count(F.lit(1)).over(Window.partitionBy("request")) > MAX_UPLOAD_FILES
+    error = (
+        F.when(many, f"Max {MAX_UPLOAD_FILES} files per upload")
+        .when(~F.lower(name).rlike(r"\.tiff?$"), "Not a .tif/.tiff file")
+        .when(F.col("bytes") > MAX_UPLOAD_MB * 1024 * 1024, f"Exceeds {MAX_UPLOAD_MB}MB limit")
+        .when(~F.coalesce("readable", F.lit(False)), "Not a valid GeoTIFF")
+        .when(~F.coalesce("has_crs", F.lit(False)), "No CRS/geotransform in this file")
+    )
+    return uploads.withColumn("filename", name).withColumn("error", error).withColumn("ok", F.col("error").isNull())

@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from rowfield.functions import geometry as G
 from rowfield.operators import plantings as P
+from rowfield.operators import routing as R
 from rowfield.plans.common import scratch
+from rowfield.sources import files
 
 BOX = "xmin double, ymin double, xmax double, ymax double"
 
@@ -89,3 +91,31 @@ def test_tracks_searches_and_pages(spark):
     lines = spark.createDataFrame([("j", i, f"line {i}") for i in range(5)] + [("k", 9, "only")], "job string, at long, text string")
     page = P.log_page(lines, F.lit(3)).orderBy("job", "at").collect()
     assert [(r["job"], r["line"], r["n"], r["text"]) for r in page] == [("j", 3, 5, "line 3"), ("j", 4, 5, "line 4")]
+
+
+def test_second_tracks_on_a_row_go(spark):
+    line = lambda b, i, x, y, n: (b, i, x, [y] * n)
+    rows = [
+        line(1, 1, 0, 0.0, 20), line(1, 2, 0, 0.2, 30),  # the longer one stays
+        line(1, 3, 0, 1.0, 20), line(1, 4, 50, 1.1, 20),  # no common extent
+        line(1, 5, 15, 2.0, 20), line(1, 6, 30, 2.1, 20),  # 4 of 20 in common
+        line(2, 7, 0, 0.0, 20), line(2, 8, 0, 0.1, 20),  # of equal ones the first
+        (3, 9, 0, None),
+    ]
+    df = spark.createDataFrame(rows, P.ROWS)
+    assert sorted(r["id"] for r in P.distinct_rows(df, 1.0).collect()) == [2, 3, 4, 5, 6, 7]
+    assert P.distinct_rows(df.limit(0), 1.0).isEmpty()
+
+
+def test_path_lengths_off_the_ground(spark):
+    tree = spark.createDataFrame([(1, 1, 0.0, 0.0, True), (2, 1, 3.0, 4.0, True), (3, 2, 3.0, 6.0, False), (4, 3, 3.0, 7.0, True)], "node long, parent long, x double, y double, passable boolean")
+    got = {r["node"]: (r["length_m"], r["off_m"]) for r in R.path_lengths(tree, scratch(spark, "lengths")).collect()}
+    assert got == {1: (0.0, 0.0), 2: (5.0, 0.0), 3: (7.0, 2.0), 4: (8.0, 3.0)}
+
+
+def test_uploads_and_parameters(spark, tmp_path):
+    rows = [(1, None, 1, True, True), (1, "a.TIFF", 50 << 20, True, True), (1, "b.tif", (50 << 20) + 1, True, True), (1, "c.tif.png", 1, True, True), (1, "d.tif", 1, None, True), (1, "e.tif", 1, True, None)]
+    checked = files.upload_checks(spark.createDataFrame(rows, "request int, filename string, bytes long, readable boolean, has_crs boolean"))
+    assert {r["filename"]: r["ok"] for r in checked.collect()} == {"unnamed.tif": True, "a.TIFF": True, "b.tif": False, "c.tif.png": False, "d.tif": False, "e.tif": False}
+    model = {"rows": {"P": 2.5}, "vines": {"gap": 1.0}}
+    assert files.parameters(spark, files.write_parameters(str(tmp_path / "m" / "model.json"), model)) == model
