@@ -74,3 +74,18 @@ def test_pieces_are_stitched_across_tiles(spark):
     edges = routes.stitch_edges(spark, SF).count()
     sizes = [r["pieces"] for r in routes.stitched_blocks(spark, SF).collect()]
     assert edges > 100 and sum(n > 1 for n in sizes) > 20 and max(sizes) > 5 and len(sizes) > 50
+
+
+def test_copies_of_strips_add_no_pairs_to_places(spark, tmp_path, monkeypatch):
+    from rowfield.operators import spatial as X
+
+    made, join = [], X.overlapping
+    monkeypatch.setattr(X, "overlapping", lambda *a: made.append(join(*a)) or made[-1])
+    for name, copies in (("once", 1), ("often", 20)):
+        part = spark.read.parquet(f"{SF}/part.parquet")
+        # a shift by a multiple of the periods of all coordinates
+        part.crossJoin(spark.range(copies)).selectExpr("p_partkey + 64000 * id AS p_partkey", "p_size").write.parquet(f"{tmp_path}/{name}/part.parquet")
+        spark.read.parquet(f"{SF}/events.parquet").write.parquet(f"{tmp_path}/{name}/events.parquet")
+    once, often = (sorted(tuple(r) for r in spatial.QUERIES["place_context"][0](spark, f"{tmp_path}/{name}").collect()) for name in ("once", "often"))
+    assert once == often and any(p.startswith("strip") for _, p in once)
+    assert made[0].count() == made[1].count()
