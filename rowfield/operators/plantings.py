@@ -16,6 +16,8 @@ from rowfield.operators import spatial
 # Merging and overlap rules, lane trim, how far a turn swings past a lane's end.
 MERGE_M, TOUCH_M, TOUCH_RADIUS_M, OVERLAP_SHARE = 5.0, 0.01, 0.5, 0.3
 LANE_TRIM_M, TURN_OUT_M = 0.3, 1.2
+# Pairs of blocks of a cell that are gone through as they are.
+PAIRS = 2_000_000
 
 
 def planting_links(blocks: DataFrame, passages: DataFrame, most: float = MERGE_M) -> DataFrame:
@@ -38,32 +40,66 @@ def planting_links(blocks: DataFrame, passages: DataFrame, most: float = MERGE_M
     return linked.select("a", "b").join(cut, ["a", "b"], "left_anti")
 
 
-def kept_blocks(blocks: DataFrame, folder: str, share: float = OVERLAP_SHARE) -> DataFrame:
+def kept_blocks(blocks: DataFrame, folder: str, share: float = OVERLAP_SHARE, pairs: int = PAIRS, each: int = 8) -> DataFrame:
     """The blocks (id, length, box) that stay when, from the longest to the shortest, each one goes that shares more than
     `share` of the smaller area with one that stays.
 
-    In rounds: of the overlaps still open, blocks without a longer partner stay and their partners go. A block is decided
-    as soon as all longer partners are, so the result is that of going through them one by one. Each round is written.
+    Of equal boxes that share enough of themselves only the first can stay. The others go in rounds, each of them written.
+    While cells hold more than `pairs` pairs of blocks, and more than `each` a block, the blocks that are first in all of their
+    cells stay, at most one a cell, and what they cover goes. Then of the overlaps still open, blocks without a longer
+    partner stay and their partners go. A block is decided as soon as all longer partners are, so the result is that of
+    going through them one by one.
     """
     spark = blocks.sparkSession
-    pairs = spatial.overlapping(blocks, blocks, spatial.usual_cell(blocks, 0.0)).where("l.id <> r.id")
-    side = lambda low, high: F.least(F.col(f"l.{high}"), F.col(f"r.{high}")) - F.greatest(F.col(f"l.{low}"), F.col(f"r.{low}"))
+    kind = blocks.schema["id"].dataType.simpleString()
+    box = ["xmin", "ymin", "xmax", "ymax"]
+    size = spatial.usual_cells(blocks)
     area = lambda s: (F.col(f"{s}.xmax") - F.col(f"{s}.xmin")) * (F.col(f"{s}.ymax") - F.col(f"{s}.ymin"))
-    first = (F.col("l.length") > F.col("r.length")) | ((F.col("l.length") == F.col("r.length")) & (F.col("l.id") < F.col("r.id")))
+    side = lambda low, high: F.least(F.col(f"l.{high}"), F.col(f"r.{high}")) - F.greatest(F.col(f"l.{low}"), F.col(f"r.{low}"))
     much = side("xmin", "xmax") * side("ymin", "ymax") > share * F.least(area("l"), area("r"))
-    kind = blocks.schema["id"].dataType.simpleString()
-    pairs.where(first & much).select(F.col("l.id").alias("hi"), F.col("r.id").alias("lo")).write.parquet(f"{folder}/open-0")
-    spark.createDataFrame([], f"id {kind}").write.parquet(f"{folder}/gone")
+    # from the longest (NaN is more than any number) to the shortest, then by id; blocks without a length, id or corner meet nothing
+    rank = F.struct((~F.isnan(F.col("length").cast("double"))).alias("a"), (-F.col("length")).alias("b"), F.col("id").alias("c"))
+    whole = blocks.where(" AND ".join(f"{c} IS NOT NULL" for c in ["id", "length", *box])).select("id", *box, rank.alias("rank"))
+    own = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")) * (1 - share)
+    covers = (F.col("xmax") >= F.col("xmin")) & (F.col("ymax") >= F.col("ymin")) & (own > 0) & (own < float("inf"))  # not NaN
+    firsts = whole.where(covers).groupBy(*box).agg(F.min("rank").alias("rank")).select(F.col("rank.c").alias("id"), *box, "rank")
+    left = _written(firsts.unionByName(whole.where(~covers)), f"{folder}/left-0")
+    _written(spark.createDataFrame([], f"id {kind}"), f"{folder}/stay")
     n = 0
-    while not (open_ := spark.read.parquet(f"{folder}/open-{n}")).isEmpty():
+    while True:
+        cells = spatial.with_cells(left, size)
+        counts = cells.groupBy("cx", "cy").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
+        if (counts["pairs"] or 0) <= max(pairs, each * (counts["rows"] or 0)):
+            break
+        # the first of each cell, and of these those that are first in all of their cells
+        tops = cells.groupBy("cx", "cy").agg(F.min("rank").alias("top"))
+        first = spatial.with_cells(left, size).join(tops, ["cx", "cy"]).groupBy("id").agg(F.bool_and(F.col("rank") == F.col("top")).alias("all")).where("all").select("id")
+        stay = _written(left.join(first, "id", "left_semi"), f"{folder}/stay-{n}")
+        stay.select("id").write.mode("append").parquet(f"{folder}/stay")
+        rest = left.join(stay.select("id"), "id", "left_anti")
+        gone = spatial.overlapping(stay, rest, size).where(much).select(F.col("r.id").alias("id")).distinct()
+        n += 1
+        left = _written(rest.join(gone, "id", "left_anti"), f"{folder}/left-{n}")
+    met = spatial.overlapping(left, left, size).where((F.col("l.rank") < F.col("r.rank")) & much)
+    open_ = _written(met.select(F.col("l.id").alias("hi"), F.col("r.id").alias("lo")), f"{folder}/open-0")
+    _written(spark.createDataFrame([], f"id {kind}"), f"{folder}/gone")
+    n = 0
+    while not open_.isEmpty():
         tops = open_.select("hi").distinct().join(open_.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
-        open_.join(tops, "hi", "left_semi").select(F.col("lo").alias("id")).distinct().write.parquet(f"{folder}/gone-{n}")
-        gone = spark.read.parquet(f"{folder}/gone-{n}")
+        gone = _written(open_.join(tops, "hi", "left_semi").select(F.col("lo").alias("id")).distinct(), f"{folder}/gone-{n}")
         gone.write.mode("append").parquet(f"{folder}/gone")
-        left = open_.join(gone.select(F.col("id").alias("lo")), "lo", "left_anti").join(gone.select(F.col("id").alias("hi")), "hi", "left_anti")
+        after = open_.join(gone.select(F.col("id").alias("lo")), "lo", "left_anti").join(gone.select(F.col("id").alias("hi")), "hi", "left_anti")
         n += 1
-        left.select("hi", "lo").write.parquet(f"{folder}/open-{n}")
-    return blocks.join(spark.read.parquet(f"{folder}/gone"), "id", "left_anti")
+        open_ = _written(after.select("hi", "lo"), f"{folder}/open-{n}")
+    read = lambda name: spark.read.schema(f"id {kind}").parquet(f"{folder}/{name}")
+    stays = left.select("id").join(read("gone"), "id", "left_anti").unionByName(read("stay"))
+    alone = blocks.where(" OR ".join(f"{c} IS NULL" for c in ["id", "length", *box]))
+    return blocks.join(stays, "id", "left_semi").unionByName(alone)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lane_of(ring: Column) -> Column:

@@ -50,6 +50,29 @@ def test_kept_blocks_are_those_of_one_by_one(spark):
     assert P.kept_blocks(odd, scratch(spark, "kept")).count() == 2
 
 
+def test_kept_blocks_of_many_copies(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        x, y, w, h = (int(v) for v in (*r.integers(0, 40, 2), *r.integers(1, 16, 2)))
+        rows += [(0, int(r.integers(1, 6)), float(x), float(y), float(x + w), float(y + h)) for _ in range(int(r.integers(1, 12)))]
+    rows += [(0, 9, 70.0, 70.0, 80.0, 71.0)] * 150 + [(0, 9, 70.0, 70.0, 70.0, 71.0)] * 3  # boxes without an area share nothing
+    rows = [(i, *row[1:]) for i, row in enumerate(rows[i] for i in r.permutation(len(rows)))]
+    kept = []
+    for b in sorted(rows, key=lambda b: (-b[1], b[0])):
+        area = lambda k: (k[4] - k[2]) * (k[5] - k[3])
+        side = lambda k, lo, hi: max(0.0, min(b[hi], k[hi]) - max(b[lo], k[lo]))  # noqa: E731, B023
+        if not any(side(k, 2, 4) * side(k, 3, 5) > 0.3 * min(area(b), area(k)) for k in kept):
+            kept.append(b)
+    df = spark.createDataFrame(rows, f"id long, length long, {BOX}")
+    at = scratch(spark, "kept")
+    assert sorted(x["id"] for x in P.kept_blocks(df, at).collect()) == sorted(b[0] for b in kept)
+    assert spark.read.parquet(f"{at}/open-0").count() < 60 * 60 / 2
+    at = scratch(spark, "kept")
+    assert sorted(x["id"] for x in P.kept_blocks(df, at, pairs=0, each=0).collect()) == sorted(b[0] for b in kept)
+    assert not spark.read.parquet(f"{at}/stay").isEmpty()
+
+
 def test_lanes_and_turns(spark):
     ring = lambda *p: F.array(*[G.point(F.lit(float(x)), F.lit(float(y))) for x, y in p])
     at = lambda c: [(round(p["x"], 9), round(p["y"], 9)) for p in spark.range(1).select(c.alias("c")).first()["c"]]
