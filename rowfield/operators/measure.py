@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowfield.operators.spatial import usual_cell, with_cells
+
 
 def row_lengths(pieces: DataFrame) -> DataFrame:
     """Metres a row: its pieces on all tiles, summed."""
@@ -135,11 +137,104 @@ def comparison(single_trips: Column, tour: Column) -> dict[str, Column]:
     return {"separate_m": separate, "tour_m": tour, "saved_m": saved, "reduction_pct": F.coalesce(F.try_divide(100 * saved, separate), F.lit(0.0))}
 
 
-def match_scores(pairs: DataFrame, truths: int, found: int, least: float = 0.5) -> DataFrame:
-    """Detection scores from (truth, found, iou) pairs: each side is used once, best pairs first where mutual."""
-    best_t = F.row_number().over(Window.partitionBy("truth").orderBy(F.desc("iou"), "found"))
-    best_f = F.row_number().over(Window.partitionBy("found").orderBy(F.desc("iou"), "truth"))
-    hits = pairs.where(F.col("iou") >= least).withColumns({"bt": best_t, "bf": best_f}).where("bt = 1 AND bf = 1")
-    n = hits.agg(F.count(F.lit(1)).alias("hits"), F.avg("iou").alias("mean_iou"))
-    f1 = F.lit(2.0) * F.col("hits") / F.lit(max(truths + found, 1))
-    return n.select("hits", F.round("mean_iou", 6).alias("mean_iou"), F.round(f1, 6).alias("f1"))
+#: Of a tile: the best of each side where both lie in it alone (hits, and their scores' sum), else a row for each.
+_BEST = "side int, truth string, found string, score long, hits long"
+#: Boxes whose pairs are tried at a time, and the units of a score.
+_CHUNK, _UNITS = 64, 1_000_000_000
+
+
+def match_scores(truth: DataFrame, found: DataFrame, truths: int, founds: int, folder: str, least: float = 0.5, tile: float | None = None) -> DataFrame:
+    """Detection scores of boxes (name, box): each side is used once, best pairs first where mutual. Pairs share `least` of
+    what they cover together (to nine places); ties go to the smaller name.
+
+    Boxes go to the tiles that they touch. A tile tries its boxes row by row of tiles' tallest box, by classes of widths,
+    and keeps the best partner of each box, not the pairs. Where both lie in one tile alone the pair is decided there; the
+    few others' best are written to `folder` and compared over all tiles.
+    """
+    size = tile or 32 * usual_cell(truth, 0.0)
+
+    def rows(boxes: DataFrame, side: int) -> DataFrame:
+        box = boxes.where("xmax > xmin AND ymax > ymin").select("name", *[F.col(c).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+        alone = [F.floor(F.col(f"{a}min") / size) == F.floor(F.col(f"{a}max") / size) for a in "xy"]
+        return with_cells(box, size).select("cx", "cy", F.lit(side).alias("side"), "name", "xmin", "ymin", "xmax", "ymax", (alone[0] & alone[1]).alias("alone"))
+
+    def run(table):
+        return _best_of_tile(table, least)
+
+    rows(truth, 0).unionByName(rows(found, 1)).groupBy("cx", "cy").applyInArrow(run, _BEST).write.parquet(folder)
+    best = truth.sparkSession.read.schema(_BEST).parquet(folder)
+    of = lambda side, one, other: best.where(F.col("side") == side).groupBy(one).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(other).alias("n"))).alias("b")).select(one, F.col("b.n").alias(other), (-F.col("b.s")).alias("score"))
+    apart = of(0, "truth", "found").join(of(1, "found", "truth").select("truth", "found"), ["truth", "found"]).select("score", F.lit(1).cast("long").alias("hits"))
+    every = best.where("side = 2").select("score", "hits").unionByName(apart)
+    n = every.agg(F.coalesce(F.sum("hits"), F.lit(0)).cast("long").alias("hits"), F.sum("score").alias("score"))
+    f1 = F.lit(2.0) * F.col("hits") / F.lit(max(truths + founds, 1))
+    return n.select("hits", F.round(F.try_divide(F.col("score") / F.lit(float(_UNITS)), F.col("hits")), 6).alias("mean_iou"), F.round(f1, 6).alias("f1"))
+
+
+def _best_of_tile(table, least: float):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sides = []
+    for side in (0, 1):
+        part = table.filter(pc.equal(table["side"], side)).sort_by("name")
+        sides.append((part["name"].combine_chunks(), np.column_stack([part[c].to_numpy() for c in ("xmin", "ymin", "xmax", "ymax")]), part["alone"].to_numpy()))
+    (tn, t, ta), (fn, f, fa) = sides
+    # a score and a partner in one number: the larger score, then the smaller place by name
+    best = [np.zeros(len(t), np.int64), np.zeros(len(f), np.int64)]
+    for i, j, score in _near_pairs(t, f, least):
+        np.maximum.at(best[0], i, (score << 32) + ((1 << 32) - 1 - j))
+        np.maximum.at(best[1], j, (score << 32) + ((1 << 32) - 1 - i))
+    partner = [(1 << 32) - 1 - (b & ((1 << 32) - 1)) for b in best]
+    i, j = np.flatnonzero(best[0]), np.flatnonzero(best[1])
+    ti, fj = partner[0][i], partner[1][j]
+    both = ta[i] & fa[ti]
+    hit = both & (partner[1][ti] == i)
+    ends = fa[j] & ta[fj]
+    open_t, open_f = i[~both], j[~ends]
+    columns = [
+        np.concatenate([[2], np.zeros(len(open_t), int), np.ones(len(open_f), int)]).astype(np.int32),
+        pa.concat_arrays([pa.array([None], tn.type), tn.take(pa.array(open_t)), tn.take(pa.array(partner[1][open_f]))]),
+        pa.concat_arrays([pa.array([None], fn.type), fn.take(pa.array(partner[0][open_t])), fn.take(pa.array(open_f))]),
+        np.concatenate([[int((best[0][i[hit]] >> 32).sum())], best[0][open_t] >> 32, best[1][open_f] >> 32]).astype(np.int64),
+        np.concatenate([[int(hit.sum())], np.zeros(len(open_t) + len(open_f), int)]).astype(np.int64),
+    ]
+    return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["side", "truth", "found", "score", "hits"])
+
+
+def _near_pairs(t, f, least: float):
+    """(places in t, places in f, scores in units) of all pairs with a score of `least` or more. Such pairs' widths differ by
+    1 / least at most, and their left edges by (1 - least) of the wider one."""
+    import numpy as np
+
+    if not len(t) or not len(f):
+        return
+    base, tall = 1.01 / least, max((t[:, 3] - t[:, 1]).max(), (f[:, 3] - f[:, 1]).max())
+
+    def groups(box):
+        kinds = np.floor(np.log(box[:, 2] - box[:, 0]) / np.log(base)).astype(np.int64), np.floor(box[:, 1] / tall).astype(np.int64)
+        order = np.lexsort((box[:, 0], *kinds))
+        kinds = np.column_stack(kinds)[order]
+        cuts = [0, *(np.flatnonzero((kinds[1:] != kinds[:-1]).any(axis=1)) + 1).tolist(), len(box)]
+        return {tuple(kinds[a].tolist()): order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
+
+    others = {k: (at, f[at], f[at, 0], (f[at, 2] - f[at, 0]) * (f[at, 3] - f[at, 1])) for k, at in groups(f).items()}
+    for (kind, row), at in groups(t).items():
+        near = [(others[k, r], (1.01 - least) * base ** (max(kind, k) + 1)) for k in (kind - 1, kind, kind + 1) for r in (row - 1, row, row + 1) if (k, r) in others]
+        for n in range(0, len(at), _CHUNK):
+            own = at[n : n + _CHUNK]
+            x0, y0, x1, y1 = (c[:, None] for c in t[own].T)
+            area = (x1 - x0) * (y1 - y0)
+            for (places, box, left, areas), reach in near:
+                a, b = np.searchsorted(left, [x0[0, 0] - reach, x0[-1, 0] + reach])
+                if a == b:
+                    continue
+                u0, v0, u1, v1 = box[a:b].T
+                wide, high = np.minimum(x1, u1) - np.maximum(x0, u0), np.minimum(y1, v1) - np.maximum(y0, v0)
+                shared = np.maximum(wide, 0) * np.maximum(high, 0)
+                score = shared / (area + areas[a:b] - shared)
+                i, j = np.nonzero(score >= least - 1e-8)
+                units = np.floor(score[i, j] * _UNITS + 0.5).astype(np.int64)
+                enough = units >= round(least * _UNITS)
+                yield own[i[enough]], places[a + j[enough]], units[enough]

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowfield.functions import scalars as S
-from rowfield.functions.geometry import box_intersection_area
 from rowfield.operators import measure as M
-from rowfield.operators import spatial as X
+from rowfield.plans.common import scratch
 from rowfield.sources import demo, driver
 
 UNION_SQL = """
@@ -119,20 +118,18 @@ def off_ground_share(spark, sf_dir):
 
 def detection_scores(spark, sf_dir):
     """All canopies against copies that are shifted by 20 and 10 cm: every pair of boxes that meet, best mutual pairs."""
-    boxes = driver.canopies(spark, sf_dir).where("x1 > x0").select("block", "x0", "y0", "x1", "y1").distinct()
+    at = scratch(spark, "scores")
+    driver.canopies(spark, sf_dir).where("x1 > x0").select("block", "x0", "y0", "x1", "y1").distinct().write.parquet(f"{at}/boxes")
+    boxes = spark.read.parquet(f"{at}/boxes")
     name = F.concat_ws("_", "block", "x0", "y0", "x1", "y1")
 
     def side(dx, dy):
-        # blocks lie beside each other, so that only boxes of one block share a cell
-        at = F.col("block").cast("long") * 10_000_000
-        return boxes.select(name.alias("name"), (at + F.col("x0") + dx).alias("xmin"), (F.col("y0") + dy).alias("ymin"), (at + F.col("x1") + dx).alias("xmax"), (F.col("y1") + dy).alias("ymax"))
-
-    corners = lambda s: tuple(F.col(f"{s}.{c}") for c in ("xmin", "ymin", "xmax", "ymax"))
-    area = lambda s: (F.col(f"{s}.xmax") - F.col(f"{s}.xmin")) * (F.col(f"{s}.ymax") - F.col(f"{s}.ymin"))
-    both = box_intersection_area(corners("l"), corners("r"))
-    pairs = X.overlapping(side(0, 0), side(20, 10), 500.0).select(F.col("l.name").alias("truth"), F.col("r.name").alias("found"), F.round(both / (area("l") + area("r") - both), 9).alias("iou"))
+        # blocks lie beside each other, so that only boxes of one block share a tile
+        left = F.col("block").cast("long") * 10_000_000
+        return boxes.select(name.alias("name"), (left + F.col("x0") + dx).alias("xmin"), (F.col("y0") + dy).alias("ymin"), (left + F.col("x1") + dx).alias("xmax"), (F.col("y1") + dy).alias("ymax"))
+
     n = boxes.count()
-    return M.match_scores(pairs, n, n)
+    return M.match_scores(side(0, 0), side(20, 10), n, n, f"{at}/best")
 
 
 def vine_spacing(spark, sf_dir):

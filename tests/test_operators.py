@@ -201,3 +201,25 @@ def test_copies_of_places_and_boxes_are_joined_once(spark, monkeypatch):
     got = {r["id"]: (r["nearest"], r["distance"]) for r in X.nearest_within(points, boxes, 10.0, F.hypot(dx, dy), "id").collect()}
     assert got == {i: ("4", 3.0) for i in range(60)} | {60: ("", None), 61: ("", None), 62: ("5", 5**0.5)}
     assert made[0].count() <= 9
+
+
+def test_scores_of_crowded_boxes(spark, tmp_path):
+    r = np.random.default_rng(7)
+    sides = [{f"{p}{i}": tuple(map(float, (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(zip(*r.integers(0, 25, (2, 300)), *r.integers(1, 14, (2, 300)), strict=True))} for p in "tf"]
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    pairs = []
+    for t, a in sides[0].items():
+        for f, b in sides[1].items():
+            both = max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+            if round(both / (area(a) + area(b) - both), 9) >= 0.5:
+                pairs.append((-round(both / (area(a) + area(b) - both), 9), t, f))
+    best_t = {t: min((s, f) for s, u, f in pairs if u == t) for _, t, _ in pairs}
+    best_f = {f: min((s, t) for s, t, g in pairs if g == f) for _, _, f in pairs}
+    hits = [-s for t, (s, f) in best_t.items() if best_f[f][1] == t]
+    frame = lambda d: spark.createDataFrame([(k, *b) for k, b in d.items()] + [("none", None, 0.0, 1.0, 1.0), ("flat", 0.0, 0.0, 0.0, 5.0)], "name string, xmin double, ymin double, xmax double, ymax double")
+    for tile in (6.0, 17.0, None):
+        got = M.match_scores(frame(sides[0]), frame(sides[1]), 300, 300, f"{tmp_path}/{tile}", tile=tile).first()
+        assert (got["hits"], got["f1"]) == (len(hits), round(2 * len(hits) / 600, 6)) and abs(got["mean_iou"] - sum(hits) / len(hits)) < 2e-6
+    assert spark.read.parquet(f"{tmp_path}/None").count() < len(hits) < len(pairs)
+    empty = M.match_scores(frame({}).limit(0), frame({}).limit(0), 0, 0, f"{tmp_path}/empty").first()
+    assert tuple(empty) == (0, None, 0.0)
